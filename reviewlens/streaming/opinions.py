@@ -20,9 +20,10 @@ def read_review_stream(
     schema: StructType | str,
     format: str = "json",
     files_per_batch: int | None = None,
+    names: str = "*",
 ) -> DataFrame:
     """Reviews from files that land in a folder, with an explicit schema."""
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", names)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.format(format).load(path)
