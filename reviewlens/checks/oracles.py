@@ -137,6 +137,15 @@ ORACLES: dict[str, str] = {
     "bag_of_words_long": f"""WITH {RANKED},
         doc_terms AS (SELECT doc_id, term, count(*) AS m FROM tokens GROUP BY ALL)
         SELECT doc_id, term_index, CAST(m AS DOUBLE) AS value FROM doc_terms JOIN ranked USING (term)""",
+    "count_vectors": f"""WITH {RANKED},
+        entries AS (SELECT doc_id, term_index, count(*) AS m FROM tokens JOIN ranked USING (term)
+                    GROUP BY ALL),
+        bags AS (SELECT doc_id, string_agg(CAST(term_index AS VARCHAR), ' ' ORDER BY term_index) AS indices,
+                        string_agg(CAST(m AS VARCHAR), ' ' ORDER BY term_index) AS counts
+                 FROM entries GROUP BY doc_id)
+        SELECT doc_id, CAST((SELECT count(*) FROM ranked) AS INTEGER) AS size,
+               coalesce(indices, '') AS indices, coalesce(counts, '') AS counts
+        FROM documents LEFT JOIN bags USING (doc_id)""",
     "topk_terms_per_doc": f"""WITH {DOC_TERMS},
         placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term)
                              AS INTEGER) AS rank FROM doc_terms)

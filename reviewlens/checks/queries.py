@@ -152,6 +152,23 @@ def bag_of_words_long(spark, sf):
     return terms.bag_of_words(counted, ranked)
 
 
+def count_vectors(spark, sf):
+    docs = _documents(spark, sf)
+    counted = terms.document_term_counts(tokens(docs))
+    vectors = terms.count_vectors(docs, counted, terms.vocabulary(terms.total_counts(counted)))
+    # A vector as JSON is {"type", "size", "indices", "values"}.
+    fields = F.from_json(
+        F.get_json_object(F.to_json(F.struct("features")), "$.features"),
+        "size int, indices array<int>, values array<double>",
+    )
+    return vectors.select("doc_id", fields.alias("v")).select(
+        "doc_id",
+        F.col("v.size").alias("size"),
+        F.array_join("v.indices", " ").alias("indices"),
+        F.array_join(F.col("v.values").cast("array<int>"), " ").alias("counts"),
+    )
+
+
 def topk_terms_per_doc(spark, sf):
     counted = terms.document_term_counts(tokens(_documents(spark, sf)))
     return terms.top_document_terms(counted, TOP_TERMS)
@@ -251,7 +268,7 @@ def learned_scores(spark, sf):
 
 
 def lda_topics(spark, sf):
-    return topics.discover_topics(_corpus(spark, sf)).topics()
+    return topics.discover_topics(_documents(spark, sf)).topics()
 
 
 def stream_opinions(spark, sf):
@@ -377,6 +394,7 @@ QUERIES: dict[str, Query] = {
     "vocabulary_rank": vocabulary_rank,
     "vocabulary_size": vocabulary_size,
     "bag_of_words_long": bag_of_words_long,
+    "count_vectors": count_vectors,
     "topk_terms_per_doc": topk_terms_per_doc,
     "corpus_lines": corpus_lines,
     "document_numbers": document_numbers,

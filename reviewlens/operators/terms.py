@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from reviewlens.operators.ranking import number_rows, top_per_group
-from reviewlens.session import durable
+from reviewlens.session import durable, written_table
 
 HEAD_TERMS = 50_000
 """Most frequent terms that are broadcast when terms are looked up."""
 
-MAX_VECTOR_TERMS = 1 << 18
-"""Largest vocabulary that may pass through the driver into a vector model."""
+MAX_TOP_TERMS = 1 << 18
+"""Largest cut of the vocabulary that one task may rank."""
+
+MAX_VECTOR_SIZE = (1 << 31) - 1
+"""Vector indices are 32-bit."""
 
 
 def document_term_counts(tokens: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -43,7 +47,7 @@ def vocabulary(counts: DataFrame, vocab_size: int | None = None) -> DataFrame:
     With ``vocab_size`` only that many top terms are kept.
     """
     order = [F.desc("n"), F.asc("term")]
-    if vocab_size is None or vocab_size > MAX_VECTOR_TERMS:
+    if vocab_size is None or vocab_size > MAX_TOP_TERMS:
         ranked = number_rows(counts.select("term", "n"), *order, index="term_index")
         return ranked if vocab_size is None else ranked.where(F.col("term_index") < vocab_size)
     top = counts.select("term", "n").orderBy(*order).limit(vocab_size)
@@ -72,21 +76,36 @@ def bag_of_words(
     return found.select(*keys, "term_index", F.col("n").cast("double").alias("value"))
 
 
-def count_vectors(term_arrays: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Add ``features``, the sparse count vector of ``terms``, to every row.
+def count_vectors(
+    docs: DataFrame,
+    doc_terms: DataFrame,
+    vocabulary: DataFrame,
+    keys: Sequence[str] = ("doc_id",),
+) -> DataFrame:
+    """The sparse count vector of every document: keys, ``features``.
 
-    Documents without terms get an empty vector. The vocabulary passes through
-    the driver, so it is refused beyond ``MAX_VECTOR_TERMS``.
+    As wide as the vocabulary; a document without terms gets an empty vector.
+    The vocabulary never passes through the driver: terms are looked up as in
+    ``bag_of_words`` and each document's entries are written to a table in the
+    checkpoint folder, in the layout of a vector column, and read back as one.
     """
-    rows = vocabulary.select("term_index", "term").limit(MAX_VECTOR_TERMS + 1).collect()
-    if len(rows) > MAX_VECTOR_TERMS:
-        raise ValueError("vocabulary too large for vectors: give a vocab_size or use bag_of_words")
-    if not rows:
-        raise ValueError("the vocabulary is empty")
-    model = CountVectorizerModel.from_vocabulary(
-        [r["term"] for r in sorted(rows)], inputCol="terms", outputCol="features"
+    size = vocabulary.count()
+    if size > MAX_VECTOR_SIZE:
+        raise ValueError("vectors cannot be that wide: give a vocab_size or use bag_of_words")
+    bags = bag_of_words(doc_terms, vocabulary, keys)
+    index = F.col("term_index").cast("int").alias("term_index")
+    entries = bags.select(*keys, F.struct(index, "value").alias("entry"))
+    grouped = entries.unionByName(docs.select(*keys), allowMissingColumns=True).groupBy(*keys)
+    sparse = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(size).cast("int").alias("size"),
+        F.col("entries.term_index").alias("indices"),
+        F.col("entries.value").alias("values"),
     )
-    return model.transform(term_arrays)
+    collected = grouped.agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+    written = written_table(collected.select(*keys, sparse.alias("features")))
+    schema = StructType([docs.schema[k] for k in keys] + [StructField("features", VectorUDT())])
+    return docs.sparkSession.read.schema(schema).parquet(written)
 
 
 def top_document_terms(

@@ -13,7 +13,11 @@ from reviewlens.functions.text import WORD
 
 
 def fit_scorer(
-    labelled: DataFrame, features: int = 1 << 16, max_iter: int = 50, reg: float = 1e-3
+    labelled: DataFrame,
+    features: int = 1 << 16,
+    max_iter: int = 50,
+    reg: float = 1e-3,
+    tol: float = 1e-4,
 ) -> PipelineModel:
     """Train on ``sentence`` and its class ``score`` (0, 1, ...)."""
     stages = [
@@ -27,6 +31,7 @@ def fit_scorer(
             family="multinomial",
             maxIter=max_iter,
             regParam=reg,
+            tol=tol,
         ),
     ]
     rows = labelled.select("sentence", F.col("score").cast("double").alias("_label"))

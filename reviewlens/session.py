@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,3 +47,10 @@ def durable(df):
     """``df`` written to the checkpoint folder, so later stages never recompute it."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written_table(df) -> str:
+    """``df`` as a new Parquet table in the checkpoint folder; returns its path."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
