@@ -12,8 +12,10 @@ from pyspark.sql.types import StructField, StructType
 from reviewlens.operators.ranking import number_rows, top_per_group
 from reviewlens.session import durable, written_table
 
-HEAD_TERMS = 50_000
-"""Most frequent terms that are broadcast when terms are looked up."""
+HEAD_TERMS = 100_000
+HEAD_TERM_BYTES = 100
+"""The most frequent terms, unless very long, are broadcast when terms are looked
+up: 10 MB at the most, however large the vocabulary is."""
 
 MAX_TOP_TERMS = 1 << 18
 """Largest cut of the vocabulary that one task may rank."""
@@ -67,8 +69,8 @@ def bag_of_words(
     the skewed ones, meet a broadcast of a fixed size; only rare ones shuffle.
     """
     index = vocabulary.select("term", "term_index")
-    head = index.where(F.col("term_index") < head_terms)
-    tail = index.where(F.col("term_index") >= head_terms)
+    in_head = (F.col("term_index") < head_terms) & (F.octet_length("term") <= HEAD_TERM_BYTES)
+    head, tail = index.where(in_head), index.where(~in_head)
     found = doc_terms.join(F.broadcast(head), "term")
     if not tail.isEmpty():
         rare = doc_terms.join(F.broadcast(head.select("term")), "term", "left_anti")

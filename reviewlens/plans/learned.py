@@ -14,9 +14,9 @@ from reviewlens.functions.text import WORD
 
 def fit_scorer(
     labelled: DataFrame,
-    features: int = 1 << 16,
-    max_iter: int = 50,
-    reg: float = 1e-3,
+    features: int = 1 << 14,
+    max_iter: int = 30,
+    reg: float = 1e-2,
     tol: float = 1e-4,
 ) -> PipelineModel:
     """Train on ``sentence`` and its class ``score`` (0, 1, ...)."""

@@ -15,7 +15,8 @@ INLINE_ROWS = 10_000
 """Lookups up to this many rows become literals of the plan."""
 
 BROADCAST_ROWS = 50_000
-"""Tables up to this many rows may be broadcast."""
+BROADCAST_BYTES = 64 << 20
+"""Tables up to this many rows and bytes may be broadcast."""
 
 HOT_KEY_SALTS = 32
 """Pieces into which every join key is split when the small side is not small."""
@@ -36,10 +37,10 @@ def cluster_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(have, want), *keys)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Leave a scan alone unless it has too few splits to keep the cores busy."""
     have, want = _scan_partitions(df)
-    return df if have >= want else df.repartition(want)
+    return df if have >= want else df.repartition(want, *keys)
 
 
 def bounded_rows(df: DataFrame, limit: int = INLINE_ROWS) -> list[Row] | None:
@@ -48,6 +49,17 @@ def bounded_rows(df: DataFrame, limit: int = INLINE_ROWS) -> list[Row] | None:
     return rows if len(rows) <= limit else None
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether ``df`` is counted and weighed to be small enough for every executor."""
+    width = F.lit(0)
+    for name, kind in df.dtypes:
+        size = F.octet_length(name) if kind in ("string", "binary") else F.lit(16)
+        width = width + F.coalesce(size, F.lit(0))
+    first = df.limit(BROADCAST_ROWS + 1).select(width.cast("bigint").alias("width"))
+    rows, size = first.agg(F.count("width"), F.coalesce(F.sum("width"), F.lit(0))).head()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
 def inline_terms(terms: DataFrame | Iterable[str]) -> list[str] | None:
     """The terms as a list if few enough for a literal, otherwise ``None``."""
     if isinstance(terms, DataFrame):
@@ -71,17 +83,16 @@ def join_dimension(
     salt_by: Sequence[str],
     how: str = "inner",
     salts: int = HOT_KEY_SALTS,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join facts to a dimension when one key may hold much of the facts.
 
-    A counted small dimension is broadcast. Otherwise each key is split into
+    A dimension checked to be small is broadcast. Otherwise each key is split into
     ``salts`` pieces by a hash of ``salt_by`` and the dimension is repeated per
     piece, so no task gets a whole hot key. ``how``: inner, left, left_semi or
     left_anti, all of which keep one fact row on one piece.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if dimension.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if fits_broadcast(dimension):
         return facts.join(F.broadcast(dimension), keys, how)
     pieces = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))

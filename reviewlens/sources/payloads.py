@@ -29,7 +29,7 @@ class Parsed(NamedTuple):
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """One row per landed file: ``value`` and the partition columns of its folder."""
-    return spark.read.option("wholetext", True).text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def _elements(payloads: DataFrame, schema: str, field: str) -> tuple[DataFrame, DataFrame]:

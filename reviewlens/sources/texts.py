@@ -24,7 +24,7 @@ def read_documents(
     without it rows stay where they are scanned, for corpus-wide aggregates.
     """
     docs = spark.read.parquet(path).select(*keys, F.col(text).alias("text"))
-    return cluster_by(docs, *keys) if per_document else spread(docs)
+    return cluster_by(docs, *keys) if per_document else spread(docs, *keys)
 
 
 def documents_from_rows(spark: SparkSession, texts: Iterable[str]) -> DataFrame:
