@@ -242,3 +242,8 @@ ORACLES: dict[str, str] = {
     "event_props": """SELECT event_id, CAST(props ->> '$.k' AS INTEGER) AS k,
         props ->> '$.k' AS k_text FROM events""",
 }
+# The same results by the other way of computing them.
+ORACLES["doc_term_counts_grouped"] = ORACLES["doc_term_counts"]
+ORACLES["topk_terms_ranked"] = ORACLES["topk_terms_per_doc"]
+ORACLES["opinions_from_mentions"] = ORACLES["opinions_flat"]
+ORACLES["records_from_mentions"] = ORACLES["opinions_nested_json"]

@@ -18,6 +18,7 @@ from reviewlens.functions.catalog import synopsis_or_default
 from reviewlens.functions.scores import score_label, score_severity, score_thumbs
 from reviewlens.functions.text import last_word
 from reviewlens.operators import catalog, terms
+from reviewlens.operators.local_terms import count_document_terms, top_terms
 from reviewlens.operators.mentions import (
     chain_topics,
     chains,
@@ -129,6 +130,10 @@ def token_positions(spark, sf):
 
 
 def doc_term_counts(spark, sf):
+    return count_document_terms(_corpus(spark, sf)).withColumn("length", F.length("term"))
+
+
+def doc_term_counts_grouped(spark, sf):
     counted = terms.document_term_counts(tokens(_documents(spark, sf)))
     return counted.withColumn("length", F.length("term"))
 
@@ -170,6 +175,10 @@ def count_vectors(spark, sf):
 
 
 def topk_terms_per_doc(spark, sf):
+    return top_terms(_corpus(spark, sf), TOP_TERMS)
+
+
+def topk_terms_ranked(spark, sf):
     counted = terms.document_term_counts(tokens(_documents(spark, sf)))
     return terms.top_document_terms(counted, TOP_TERMS)
 
@@ -249,7 +258,11 @@ def scored_mentions(spark, sf):
 
 
 def opinions_flat(spark, sf):
-    return opinions.review_opinions(_documents(spark, sf), LEXICON)
+    return opinions.review_opinions(_corpus(spark, sf), LEXICON)
+
+
+def opinions_from_mentions(spark, sf):
+    return opinions.flat_opinions(chains(mentions(_scored(spark, sf))))
 
 
 def opinions_strict(spark, sf):
@@ -257,7 +270,13 @@ def opinions_strict(spark, sf):
 
 
 def opinions_nested_json(spark, sf):
-    return record_json(opinions.review_records(_documents(spark, sf), LEXICON))
+    return record_json(opinions.review_records(_corpus(spark, sf), LEXICON))
+
+
+def records_from_mentions(spark, sf):
+    docs = _documents(spark, sf)
+    linked = chains(mentions(sentence_scores(sentences(docs), LEXICON)))
+    return record_json(opinions.nested_opinions(linked, docs))
 
 
 def learned_scores(spark, sf):
@@ -390,12 +409,14 @@ QUERIES: dict[str, Query] = {
     "lemma_term_counts": lemma_term_counts,
     "token_positions": token_positions,
     "doc_term_counts": doc_term_counts,
+    "doc_term_counts_grouped": doc_term_counts_grouped,
     "total_counts": total_counts,
     "vocabulary_rank": vocabulary_rank,
     "vocabulary_size": vocabulary_size,
     "bag_of_words_long": bag_of_words_long,
     "count_vectors": count_vectors,
     "topk_terms_per_doc": topk_terms_per_doc,
+    "topk_terms_ranked": topk_terms_ranked,
     "corpus_lines": corpus_lines,
     "document_numbers": document_numbers,
     "sentences": all_sentences,
@@ -409,6 +430,8 @@ QUERIES: dict[str, Query] = {
     "chain_names": chain_names,
     "scored_mentions": scored_mentions,
     "opinions_flat": opinions_flat,
+    "opinions_from_mentions": opinions_from_mentions,
+    "records_from_mentions": records_from_mentions,
     "opinions_strict": opinions_strict,
     "opinions_nested_json": opinions_nested_json,
     "learned_scores": learned_scores,

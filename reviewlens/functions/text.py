@@ -41,7 +41,7 @@ def word_array(text: Column | str, lowercase: bool = True, symbols: bool = False
 
 def last_word(run: Column | str) -> Column:
     """The lower-case last word of a run of words."""
-    return F.lower(F.element_at(F.split(run, " "), -1))
+    return F.lower(F.substring_index(run, " ", -1))
 
 
 def valence_sum(words: Column, lexicon: Mapping[str, int]) -> Column:

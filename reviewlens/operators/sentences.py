@@ -33,7 +33,8 @@ def _distinct_terms(lexicon: DataFrame) -> DataFrame:
     )
 
 
-def _inline_lexicon(lexicon: Lexicon) -> dict[str, int] | None:
+def inline_lexicon(lexicon: Lexicon) -> dict[str, int] | None:
+    """The lexicon as a dictionary if small enough for a literal, otherwise ``None``."""
     if isinstance(lexicon, DataFrame):
         rows = bounded_rows(_distinct_terms(lexicon))
         return None if rows is None else {r["term"]: r["valence"] for r in rows if r["term"]}
@@ -49,7 +50,7 @@ def sentence_scores(
     part of the expression, so scoring adds no exchange; a long one is joined to
     the words, and only the words found are added up and joined back.
     """
-    small = _inline_lexicon(lexicon)
+    small = inline_lexicon(lexicon)
     if small is not None:
         total = valence_sum(word_array("sentence"), small)
         return sentences.withColumn("score", F.coalesce(sentiment_class(total), F.lit(2)))

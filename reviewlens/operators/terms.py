@@ -5,21 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from reviewlens.operators.ranking import number_rows, top_per_group
-from reviewlens.session import durable, written_table
+from reviewlens.session import written_table
 
 HEAD_TERMS = 100_000
 HEAD_TERM_BYTES = 100
 """The most frequent terms, unless very long, are broadcast when terms are looked
 up: 10 MB at the most, however large the vocabulary is."""
 
-MAX_TOP_TERMS = 1 << 18
-"""Largest cut of the vocabulary that one task may rank."""
-
 MAX_VECTOR_SIZE = (1 << 31) - 1
 """Vector indices are 32-bit."""
 
@@ -49,12 +46,8 @@ def vocabulary(counts: DataFrame, vocab_size: int | None = None) -> DataFrame:
     With ``vocab_size`` only that many top terms are kept.
     """
     order = [F.desc("n"), F.asc("term")]
-    if vocab_size is None or vocab_size > MAX_TOP_TERMS:
-        ranked = number_rows(counts.select("term", "n"), *order, index="term_index")
-        return ranked if vocab_size is None else ranked.where(F.col("term_index") < vocab_size)
-    top = counts.select("term", "n").orderBy(*order).limit(vocab_size)
-    rank = F.row_number().over(Window.orderBy(*order)) - 1  # over vocab_size rows at most
-    return durable(top.withColumn("term_index", rank.cast("bigint")))
+    ranked = number_rows(counts.select("term", "n"), *order, index="term_index")
+    return ranked if vocab_size is None else ranked.where(F.col("term_index") < vocab_size)
 
 
 def bag_of_words(

@@ -22,9 +22,8 @@ HOT_KEY_SALTS = 32
 """Pieces into which every join key is split when the small side is not small."""
 
 
-def _scan_partitions(df: DataFrame) -> tuple[int, int]:
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.rdd.getNumPartitions(), 2 * cores
+def _wanted_partitions(df: DataFrame) -> int:
+    return 2 * df.sparkSession.sparkContext.defaultParallelism
 
 
 def cluster_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -32,15 +31,16 @@ def cluster_by(df: DataFrame, *keys: str) -> DataFrame:
 
     Every later window, grouping and join on the key (or on the key and more)
     then runs without another exchange. Skip it for tables bucketed by the key.
+    ``spark.sql.shuffle.partitions`` is the cluster's measure of how many parts.
     """
-    have, want = _scan_partitions(df)
-    return df.repartition(max(have, want), *keys)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, _wanted_partitions(df)), *keys)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Leave a scan alone unless it has too few splits to keep the cores busy."""
-    have, want = _scan_partitions(df)
-    return df if have >= want else df.repartition(want, *keys)
+    want = _wanted_partitions(df)
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
 
 
 def bounded_rows(df: DataFrame, limit: int = INLINE_ROWS) -> list[Row] | None:
@@ -55,8 +55,8 @@ def fits_broadcast(df: DataFrame) -> bool:
     for name, kind in df.dtypes:
         size = F.octet_length(name) if kind in ("string", "binary") else F.lit(16)
         width = width + F.coalesce(size, F.lit(0))
-    first = df.limit(BROADCAST_ROWS + 1).select(width.cast("bigint").alias("width"))
-    rows, size = first.agg(F.count("width"), F.coalesce(F.sum("width"), F.lit(0))).head()
+    widths = df.select(width.cast("bigint").alias("width"))
+    rows, size = widths.agg(F.count("width"), F.coalesce(F.sum("width"), F.lit(0))).head()
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
