@@ -152,15 +152,15 @@ def vocabulary_size(spark, sf):
 
 
 def bag_of_words_long(spark, sf):
-    counted = terms.document_term_counts(tokens(_documents(spark, sf)))
-    ranked = terms.vocabulary(terms.term_counts(tokens(_corpus(spark, sf))))
-    return terms.bag_of_words(counted, ranked)
+    corpus = _corpus(spark, sf)
+    ranked = terms.vocabulary(terms.term_counts(tokens(corpus)))
+    return terms.bag_of_words(count_document_terms(corpus), ranked)
 
 
 def count_vectors(spark, sf):
-    docs = _documents(spark, sf)
-    counted = terms.document_term_counts(tokens(docs))
-    vectors = terms.count_vectors(docs, counted, terms.vocabulary(terms.total_counts(counted)))
+    docs = _corpus(spark, sf)
+    ranked = terms.vocabulary(terms.term_counts(tokens(docs)))
+    vectors = terms.count_vectors(docs, count_document_terms(docs), ranked)
     # A vector as JSON is {"type", "size", "indices", "values"}.
     fields = F.from_json(
         F.get_json_object(F.to_json(F.struct("features")), "$.features"),
@@ -287,7 +287,7 @@ def learned_scores(spark, sf):
 
 
 def lda_topics(spark, sf):
-    return topics.discover_topics(_documents(spark, sf)).topics()
+    return topics.discover_topics(_corpus(spark, sf)).topics()
 
 
 def stream_opinions(spark, sf):

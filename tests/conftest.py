@@ -1,3 +1,5 @@
+import contextlib
+import io
 import os
 import sys
 
@@ -20,7 +22,10 @@ def plan_of():
     """The physical plan of a frame as text, before it runs."""
 
     def text(df) -> str:
-        return df._jdf.queryExecution().executedPlan().toString()
+        shown = io.StringIO()
+        with contextlib.redirect_stdout(shown):
+            df.explain("formatted")
+        return shown.getvalue()
 
     return text
 

@@ -99,7 +99,7 @@ def test_rows_in_memory(spark, rows):
 
 def test_documents_are_laid_out_by_key_or_left_in_place(spark, plan_of):
     path = "/root/testdata/sf0.001/documents.parquet"
-    assert "hashpartitioning(doc_id" in plan_of(read_documents(spark, path))
+    assert "Arguments: hashpartitioning(doc_id" in plan_of(read_documents(spark, path))
     whole = read_documents(spark, path, per_document=False)
     assert sorted(whole.columns) == ["doc_id", "text"]
     assert whole.count() == spark.read.parquet(path).count()

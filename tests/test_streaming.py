@@ -55,6 +55,18 @@ def test_nested_records_by_movie(spark, tmp_path):
     assert (tmp_path / "out" / "batch_id=0" / "movie_id=7").is_dir()
 
 
+def test_opinions_of_an_unbounded_frame_need_no_batches(spark, tmp_path, rows):
+    """With short lists the analysis is a projection, so it streams as it is."""
+    land(tmp_path / "in", "r.json", REVIEWS)
+    arriving = read_review_stream(spark, str(tmp_path / "in"), SCHEMA)
+    found = review_opinions(arriving, LEXICON, keys=KEYS)
+    assert found.isStreaming
+    writer = found.writeStream.option("checkpointLocation", str(tmp_path / "progress"))
+    finish(writer.trigger(availableNow=True).start(str(tmp_path / "out"), format="parquet"), 300)
+    whole = review_opinions(spark.createDataFrame(REVIEWS, SCHEMA), LEXICON, keys=KEYS)
+    assert rows(spark.read.parquet(str(tmp_path / "out")), *whole.columns) == rows(whole)
+
+
 def test_waiting_stream_times_out(spark, tmp_path):
     land(tmp_path / "in", "r.json", REVIEWS)
     stream = read_review_stream(spark, str(tmp_path / "in"), SCHEMA)
