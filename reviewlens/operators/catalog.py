@@ -56,7 +56,7 @@ def review_counts(reviews: DataFrame) -> DataFrame:
 
 def join_reviews(movies: DataFrame, reviews: DataFrame) -> DataFrame:
     """Every review with its movie's columns; a movie without reviews has no row."""
-    return join_dimension(reviews, movies, "movie_id", salt_by=["review_id"])
+    return join_dimension(reviews, movies, "movie_id")
 
 
 def append_reviews(shown: DataFrame, *arrived: DataFrame) -> DataFrame:

@@ -55,8 +55,8 @@ def sentence_scores(
         total = valence_sum(word_array("sentence"), small)
         return sentences.withColumn("score", F.coalesce(sentiment_class(total), F.lit(2)))
     at = [*keys, "sent_no"]
-    words = sentences.select(*at, F.posexplode(word_array("sentence")).alias("pos", "term"))
-    hits = join_dimension(words, _distinct_terms(lexicon), "term", salt_by=[*at, "pos"])
+    words = sentences.select(*at, F.explode(word_array("sentence")).alias("term"))
+    hits = join_dimension(words, _distinct_terms(lexicon), "term")
     totals = hits.groupBy(*at).agg(F.sum("valence").alias("_valence"))
     scored = sentences.join(totals, at, "left")
     score = sentiment_class(F.coalesce("_valence", F.lit(0)))

@@ -17,9 +17,7 @@ MIN_TERM_LENGTH = 1
 Terms = DataFrame | Iterable[str]
 
 
-def drop_terms(
-    df: DataFrame, terms: Terms, column: str = "term", salt_by: Sequence[str] = ("doc_id",)
-) -> DataFrame:
+def drop_terms(df: DataFrame, terms: Terms, column: str = "term") -> DataFrame:
     """Rows whose ``column`` is not among ``terms``; all copies of others stay.
 
     A short list is a hash-set filter in the scan stage, a long one an anti-join.
@@ -27,18 +25,17 @@ def drop_terms(
     few = inline_terms(terms)
     if few is not None:
         return df.where(~F.col(column).isin(few)) if few else df
-    return join_dimension(
-        df, term_frame(df.sparkSession, terms, column), column, salt_by, how="left_anti"
-    )
+    listed = term_frame(df.sparkSession, terms, column)
+    return join_dimension(df, listed, column, how="left_anti").select(*df.columns)
 
 
-def lemmatise(df: DataFrame, lemmas: DataFrame, salt_by: Sequence[str] = ("doc_id",)) -> DataFrame:
+def lemmatise(df: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Replace each ``term`` by its lemma from ``lemmas(form, lemma)``, if it has one.
 
     A form listed twice takes the first of its lemmas in alphabetical order.
     """
     table = lemmas.groupBy(F.col("form").alias("term")).agg(F.min("lemma").alias("lemma"))
-    joined = join_dimension(df, table, "term", salt_by, how="left")
+    joined = join_dimension(df, table, "term", how="left")
     return joined.withColumn("term", F.coalesce("lemma", "term")).drop("lemma").select(*df.columns)
 
 
@@ -58,9 +55,9 @@ def tokens(
     words = word_array("text", lowercase, symbols)
     found = docs.select(*keys, F.posexplode(words).alias("pos", "term"))
     if lemmas is not None:
-        found = lemmatise(found, lemmas, salt_by=(*keys, "pos"))
+        found = lemmatise(found, lemmas)
     found = found.where(F.length("term") > MIN_TERM_LENGTH)
-    return drop_terms(found, stopwords, salt_by=(*keys, "pos"))
+    return drop_terms(found, stopwords)
 
 
 def term_arrays(

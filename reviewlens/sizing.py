@@ -18,9 +18,6 @@ BROADCAST_ROWS = 50_000
 BROADCAST_BYTES = 64 << 20
 """Tables up to this many rows and bytes may be broadcast."""
 
-HOT_KEY_SALTS = 32
-"""Pieces into which every join key is split when the small side is not small."""
-
 
 def _wanted_partitions(df: DataFrame) -> int:
     return 2 * df.sparkSession.sparkContext.defaultParallelism
@@ -76,24 +73,35 @@ def term_frame(spark: SparkSession, terms: DataFrame | Iterable[str], name: str)
     return spark.createDataFrame([(t,) for t in sorted(set(terms))], f"{name} string")
 
 
+def hot_keys(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys with more than an even task's share of the rows: fewer than there are tasks."""
+    spark = facts.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = facts.count() / tasks
+    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = counts.where(F.col("_rows") > share).select(*keys)
+    return spark.createDataFrame(hot.collect(), hot.schema)
+
+
 def join_dimension(
-    facts: DataFrame,
-    dimension: DataFrame,
-    keys: str | Sequence[str],
-    salt_by: Sequence[str],
-    how: str = "inner",
-    salts: int = HOT_KEY_SALTS,
+    facts: DataFrame, dimension: DataFrame, keys: str | Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Join facts to a dimension when one key may hold much of the facts.
+    """Join facts to a dimension with unique keys when one key may hold much of the facts.
 
-    A dimension checked to be small is broadcast. Otherwise each key is split into
-    ``salts`` pieces by a hash of ``salt_by`` and the dimension is repeated per
-    piece, so no task gets a whole hot key. ``how``: inner, left, left_semi or
-    left_anti, all of which keep one fact row on one piece.
+    A dimension checked to be small is broadcast. Otherwise facts with a hot key
+    meet a broadcast of just those keys' rows and stay where they are, however many
+    they are; only the even rest is shuffled. Facts with a NULL key, which match
+    nothing, stay too. ``how``: inner, left, left_semi or left_anti.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if fits_broadcast(dimension):
         return facts.join(F.broadcast(dimension), keys, how)
-    pieces = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
-    return salted.join(pieces, [*keys, "_salt"], how).drop("_salt")
+    hot = F.broadcast(hot_keys(facts, keys).withColumn("_hot", F.lit(True)))
+    stays = F.coalesce("_hot", F.lit(False))
+    for key in keys:
+        stays = stays | F.col(key).isNull()
+    marked = facts.join(hot, keys, "left").withColumn("_hot", stays)
+    few = dimension.join(hot.select(*keys), keys, "left_semi")
+    in_place = marked.where("_hot").drop("_hot").join(F.broadcast(few), keys, how)
+    moved = marked.where("NOT _hot").drop("_hot").join(dimension, keys, how)
+    return in_place.unionByName(moved)

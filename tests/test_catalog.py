@@ -7,7 +7,7 @@ from reviewlens.functions.catalog import synopsis_or_default
 from reviewlens.operators import catalog
 from reviewlens.operators.ranking import number_rows, page
 from reviewlens.plans.search import search_movies, search_response
-from reviewlens.sizing import join_dimension
+from reviewlens.sizing import hot_keys, join_dimension
 
 
 @pytest.fixture(scope="module")
@@ -98,18 +98,25 @@ def test_counts_join_and_append(movies, reviews, rows):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_joins_give_the_plain_result(spark, monkeypatch, rows, how):
-    """A third of the facts share one key; both ways of joining agree with a plain join."""
-    key = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50)
+@pytest.mark.parametrize("hot", [4, 5, None])
+def test_joins_with_hot_keys_give_the_plain_result(spark, monkeypatch, rows, how, hot):
+    """A third of the facts share one key: in the dimension, not in it, or NULL."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(hot)).otherwise(F.col("id") % 50)
     facts = spark.range(3000).select("id", key.alias("key"))
     dimension = spark.range(0, 40, 2).select(F.col("id").alias("key"), (F.col("id") * 2).alias("twice"))
     plain = rows(facts.join(dimension, "key", how))
-    assert rows(join_dimension(facts, dimension, "key", ["id"], how)) == plain
+    assert rows(join_dimension(facts, dimension, "key", how)) == plain
     monkeypatch.setattr("reviewlens.sizing.BROADCAST_ROWS", 5)
-    assert rows(join_dimension(facts, dimension, "key", ["id"], how)) == plain
+    assert rows(join_dimension(facts, dimension, "key", how)) == plain
     monkeypatch.setattr("reviewlens.sizing.BROADCAST_ROWS", 500)
     monkeypatch.setattr("reviewlens.sizing.BROADCAST_BYTES", 10)
-    assert rows(join_dimension(facts, dimension, "key", ["id"], how)) == plain
+    assert rows(join_dimension(facts, dimension, "key", how)) == plain
+
+
+def test_hot_keys_are_those_beyond_an_even_share(spark, rows):
+    facts = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS key")
+    assert rows(hot_keys(facts, ["key"])) == [(-1,)]
+    assert rows(hot_keys(facts.where("key >= 0"), ["key"])) == []
 
 
 @pytest.mark.parametrize("parts", [1, 9])
