@@ -254,7 +254,9 @@ def chain_names(spark, sf):
 
 def scored_mentions(spark, sf):
     found = _chains(spark, sf).drop("sentence")
-    return mention_scores(found, _scored(spark, sf))
+    # The look-up is by document and sentence, so this side needs no other layout first.
+    scored = sentence_scores(sentences(_corpus(spark, sf)), LEXICON)
+    return mention_scores(found, scored)
 
 
 def opinions_flat(spark, sf):
