@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from reviewlens.checks.compare import difference, duck_tables
+from reviewlens.checks.oracles import ORACLES
+from reviewlens.checks.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -16,15 +18,15 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(spark, con, name):
-    found = queries()[name](spark, FOLDER).toPandas()
-    assert difference(found, con.sql(oracle_sql()[name]).df()) is None
+    found = QUERIES[name](spark, FOLDER).toPandas()
+    assert difference(found, con.sql(ORACLES[name]).df()) is None
 
 
 def test_only_models_lack_sql():
-    assert set(queries()) - set(oracle_sql()) == {"learned_scores", "lda_topics"}
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == {"learned_scores", "lda_topics"}
+    assert set(ORACLES) <= set(QUERIES)
 
 
 def test_entry(spark):
@@ -34,7 +36,7 @@ def test_entry(spark):
 
 
 def test_learned_scores(spark):
-    found = queries()["learned_scores"](spark, FOLDER)
+    found = QUERIES["learned_scores"](spark, FOLDER)
     assert found.columns == ["doc_id", "sent_no", "score"]
     assert {r.score for r in found.select("score").distinct().collect()} <= {0, 1}
-    assert found.count() == queries()["sentences"](spark, FOLDER).count()
+    assert found.count() == QUERIES["sentences"](spark, FOLDER).count()
