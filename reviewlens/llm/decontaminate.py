@@ -157,19 +157,32 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, cut:
     if cut == "documents":
         return docs.join(hits, same, "left_anti")
     joined = docs.join(hits, same, "left")
-    kept = _without(F.col("text"), F.col("_hit_spans"))
-    text = F.when(F.col("_hit_spans").isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*(text.alias(name) if name == "text" else docs[name] for name in docs.columns))
+    held, left, words = _without(F.col("text"), F.col("_hit_spans"))
+    parts = joined.select(
+        F.struct(*(docs[name] for name in docs.columns)).alias("_doc"),
+        "_hit_spans",
+        held.alias("_held"),
+        left.alias("_left"),
+        words.alias("_words"),
+    )
+    old = F.col("_doc.text")
+    text = F.when(F.col("_hit_spans").isNull(), old).otherwise(_woven("_held", "_left", "_words"))
+    return parts.select(
+        *(text.alias(name) if name == "text" else F.col("_doc")[name].alias(name) for name in docs.columns)
+    )
 
 
-def _without(text: Column, spans: Column) -> Column:
-    """The text with the words of the spans cut out."""
+def _without(text: Column, spans: Column) -> tuple[Column, Column, Column]:
+    """What stands between the words, with places; places of the words to keep; the words."""
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"))
     between = F.split(text, WORD)
     dropped = F.flatten(F.transform(spans, lambda s: F.sequence(s["first"], s["end"] - 1)))
-    marks = F.map_from_arrays(dropped, F.transform(dropped, lambda _: F.lit(True)))
-    left = F.transform(
-        words, lambda word, at: F.concat(F.get(between, at), F.when(F.element_at(marks, at), F.lit("")).otherwise(word))
-    )
-    return F.concat(F.concat_ws("", left), F.get(between, F.size(words)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(words) - 1), dropped)
+    held = F.transform(between, lambda piece, at: F.struct((2 * at).alias("at"), piece.alias("piece")))
+    return held, left, words
+
 
+def _woven(held: str, left: str, words: str) -> Column:
+    """What stood between words, and the words that are left, in their order."""
+    some = F.transform(left, lambda at: F.struct((2 * at + 1).alias("at"), F.get(words, at).alias("piece")))
+    return F.array_join(F.transform(F.sort_array(F.concat(held, some)), lambda part: part["piece"]), "")

@@ -75,7 +75,77 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM worded LEFT JOIN hit USING (row_id) LEFT JOIN named USING (row_id)
 """
 
+LINE_DEDUP = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+  FROM documents
+),
+marked AS (
+  SELECT *, doc_id::HUGEINT * 4294967296 + line_no AS place FROM lines WHERE trim(line, ' ') <> ''
+),
+firsts AS (SELECT line, min(place) AS place FROM marked GROUP BY line),
+variants AS (
+  SELECT line, place, i, md5(substr(line, 1, i - 1) || substr(line, i + 1)) AS variant
+  FROM (SELECT line, place, unnest(range(1, length(line) + 1)) AS i FROM firsts WHERE length(line) >= 20)
+),
+whole AS (SELECT line, place, md5(line) AS variant FROM firsts WHERE length(line) >= 20),
+near AS (
+  SELECT line FROM (SELECT line, place, min(place) OVER (PARTITION BY i, variant) AS other FROM variants)
+  WHERE other < place
+  UNION SELECT v.line FROM variants v JOIN whole w USING (variant) WHERE w.place < v.place
+  UNION SELECT w.line FROM variants v JOIN whole w USING (variant) WHERE v.place < w.place
+),
+judged AS (
+  SELECT m.doc_id, m.line_no, n.line IS NOT NULL AS near, n.line IS NULL AND m.place <> f.place AS exact
+  FROM marked m JOIN firsts f USING (line) LEFT JOIN near n USING (line)
+),
+summed AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near) AS n_near,
+    coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT coalesce(exact OR near, false)), '') AS kept
+  FROM lines l LEFT JOIN judged j USING (doc_id, line_no) GROUP BY l.doc_id
+)
+SELECT doc_id, n_lines, n_exact, n_near, sha256(kept) AS kept_sha256 FROM summed
+"""
+
+TOPK_SEARCH = """
+WITH usable AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.vec, c.vec)::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+WARC = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hexed FROM pages
+),
+spelled AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((('0x' || substr(hexed, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest
+  FROM payloads
+),
+firsts AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS largest FROM spelled
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = largest THEN NULL ELSE largest END AS refers_to
+FROM firsts
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": LINE_DEDUP,
+    "op3_topk_search": TOPK_SEARCH,
     "op4_jump_sharding": JUMP_SHARDING,
+    "op5_warc": WARC,
     "op10_decontaminate": DECONTAMINATE,
 }

@@ -9,13 +9,58 @@ from pyspark.sql import functions as F
 
 from reviewlens.llm.columns import table
 from reviewlens.llm.decontaminate import benchmark_hits, hit_words
+from reviewlens.llm.language_id import held_out, identify, train
+from reviewlens.llm.line_dedup import dedup_lines
+from reviewlens.llm.mixing import mixture
+from reviewlens.llm.secrets import secret_spans
 from reviewlens.llm.sharding import shard_documents
+from reviewlens.llm.simhash import near_duplicates
+from reviewlens.llm.token_counts import token_counts
+from reviewlens.llm.topk_search import top_k
+from reviewlens.llm.warc import capture_history
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = capture_history(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out(F.col("doc_id"))))
+    answers = identify(docs, model)
+    return answers.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select(
@@ -29,6 +74,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_jump_sharding": op4_jump_sharding,
-    "op10_decontaminate": op10_decontaminate,
+    query.__name__: query
+    for query in (
+        op1_line_dedup,
+        op2_token_counts,
+        op3_topk_search,
+        op4_jump_sharding,
+        op5_warc,
+        op6_mixing,
+        op7_secret_scan,
+        op8_simhash,
+        op9_language_id,
+        op10_decontaminate,
+    )
 }

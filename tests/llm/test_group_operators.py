@@ -1,0 +1,441 @@
+"""Search, archives, mixing, near-duplicates and line dedup against plain Python."""
+
+import base64
+import hashlib
+import itertools
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from awkward import awkward, awkward_rows, empty, words
+from pyspark.sql import functions as F
+
+from reviewlens.llm import line_dedup, mixing, simhash, topk_search, warc
+
+# Top-k search
+
+VECTORS = "vec_id bigint, embedding array<float>, shard int, floor int"
+
+
+def plain_top(rows, k):
+    whole = {}
+    for vec_id, vector in rows:
+        if vec_id is not None and vector is not None and all(x is not None and np.isfinite(x) for x in vector):
+            parts = tuple(int(np.floor(1024 * float(np.float32(x)))) for x in vector)
+            whole.setdefault(vec_id, set()).add(parts)
+    found = []
+    for q in (v for v in whole if v % 100 == 0):
+        best = {}
+        for a, c in itertools.product(whole[q], whole):
+            if c == q:
+                continue
+            for b in whole[c]:
+                if len(a) == len(b):
+                    score = max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a, b))))
+                    best[c] = max(best.get(c, score), score)
+        order = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+        found += [(q, at + 1, c, s) for at, (c, s) in enumerate(order)]
+    return sorted(found)
+
+
+def vector_rows(seed, n, spread=1.0):
+    draw = np.random.default_rng(seed)
+    rows = [(i, (draw.normal(size=8) * spread).tolist()) for i in range(n)]
+    rows += [(1000 + i, rows[0][1]) for i in range(60)]  # ties
+    rows += [rows[3], rows[3], (None, rows[1][1]), (2000, None), (2100, [1.0, None]), (2200, [float("nan")] * 8)]
+    rows += [(2300, [float("inf")] * 8), (2400, [1.0, 2.0]), (2500, [0.5, -0.5]), (2600, []), (2700, []), (2800, [3.0])]
+    rows += [(3000, rows[5][1]), (3000, rows[6][1]), (3001, rows[7][1]), (3001, rows[8][1])]
+    return rows
+
+
+@pytest.mark.parametrize("shard_rows, leaf, spread", [(20_000, 128, 1.0), (5, 2, 1.0), (50, 4, 1e12)])
+def test_top_k(spark, monkeypatch, shard_rows, leaf, spread):
+    monkeypatch.setattr(topk_search, "LEAST_SHARDS", 3)
+    monkeypatch.setattr(topk_search.BallTree.__init__, "__defaults__", (leaf,))
+    rows = vector_rows(leaf, 250, spread)
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], VECTORS)
+    found = topk_search.top_k(frame, k=10, shard_rows=shard_rows).collect()
+    assert sorted(map(tuple, found)) == plain_top(rows, 10)
+
+
+def test_tree_leaves_balls_out():
+    draw = np.random.default_rng(1)
+    centres = draw.integers(-50_000, 50_000, (40, 16))
+    rows = (centres[draw.integers(0, 40, 4000)] + draw.integers(-50, 50, (4000, 16))).astype(np.int64)
+    tree, read = topk_search.BallTree(np.arange(4000), rows, 32), []
+    scores = tree._scores
+    tree._scores = lambda *a: read.append(a[3] - a[2]) or scores(*a)
+    found = tree.search(rows[7], 7, 10, None)
+    want = sorted(((int(rows[i] @ rows[7]), i) for i in range(4000) if i != 7), key=lambda x: (-x[0], x[1]))[:10]
+    assert found == want and sum(read) < 2000
+    assert tree.search(rows[7], 7, 10, want[4][0]) == [w for w in want if w[0] >= want[4][0]]
+
+
+def test_top_k_of_nothing(spark):
+    frame = spark.createDataFrame([], VECTORS)
+    assert topk_search.top_k(frame).count() == 0
+    alone = spark.createDataFrame([(100, [1.0], 1, 1)], VECTORS)
+    assert topk_search.top_k(alone).count() == 0
+
+
+# Archives
+
+PAGES = "page_id bigint, url string, html string, run string, place int"
+
+
+def page_rows():
+    draw = random.Random(2)
+    rows = [(i, f"http://{draw.choice('abc')}.example.com/{draw.randrange(5)}", words(draw.randrange(20), 9)) for i in range(300)]
+    rows += [(400, None, None), (401, "", ""), (402, "http://[bad", "é\r\n\r\nWARC/1.1\r\n\r\n\x00"), (403, "a\r\nX: y", "z")]
+    rows += [(None, "http://a.example.com/1", "null id"), (404, "HTTP://WWW.A.com", "x" * 300_000), (405, "u", "same"), (405, "u", "same")]
+    return rows
+
+
+def plain_captures(rows, least=0):
+    firsts = {}
+    for page_id, _, html in rows:
+        firsts.setdefault(html or "", []).append(page_id)
+    found = []
+    for page_id, _, html in rows:
+        data = (html or "").encode()
+        largest = max((p for p in firsts[html or ""] if p is not None), default=None)
+        revisit = len(data) >= least and page_id != largest
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        found.append((page_id, len(data), digest, "revisit" if revisit else "response", largest if revisit else None))
+    return Counter(found)
+
+
+@pytest.mark.parametrize("least, per_file, range_rows", [(0, 2000, 50_000), (50, 7, 20)])
+def test_capture_history(spark, tmp_path, monkeypatch, least, per_file, range_rows):
+    monkeypatch.setattr(warc.merge_runs, "__defaults__", (range_rows,))
+    monkeypatch.setattr(warc.write_archives, "__defaults__", (per_file,))
+    rows = page_rows()
+    frame = spark.createDataFrame([(*r, "r", 1) for r in rows], PAGES)
+    history = warc.capture_history(frame, str(tmp_path / "warc"), least).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in history) == (
+        plain_captures(rows, least)
+    )
+    keys = [(r.url_key, r.captured, r.page_id is not None, r.page_id or 0) for r in history]
+    assert keys == sorted(keys)
+    assert len({r.run for r in history}) > (1 if per_file < len(rows) else 0)
+
+
+def test_archives_can_be_read_by_others(spark, tmp_path):
+    import glob
+    import gzip
+
+    rows = page_rows()
+    warc.write_archives(warc.captures(spark.createDataFrame([(*r, "r", 1) for r in rows], PAGES)), str(tmp_path / "w"))
+    payloads = Counter()
+    for name in glob.glob(str(tmp_path / "w" / "part-*")):
+        with gzip.open(name) as stream:
+            for headers, block in warc.read_records(stream):
+                assert {"warc-type", "warc-record-id", "warc-date", "content-length"} <= set(headers)
+                if headers["warc-type"] == "response":
+                    payloads[block.split(b"\r\n\r\n", 1)[1].decode()] += 1
+    assert set(payloads) == {html or "" for _, _, html in rows}
+
+
+def test_damage_is_noticed(tmp_path):
+    import gzip
+
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Target-URI: u\r\n"
+    record += b"WARC-Date: d\r\nWARC-Payload-Digest: sha1:AAAA\r\nContent-Length: 41\r\n\r\n"
+    record += b"HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\nx" + b"\r\n\r\n"
+    with pytest.raises(ValueError):
+        warc.capture_run("f", gzip.compress(record.replace(b": 41", b": 39")))
+    with pytest.raises(ValueError):
+        warc.capture_run("f", gzip.compress(record.replace(b": 41", b": 99")))
+
+
+def test_loser_tree():
+    draw = random.Random(1)
+    for _ in range(200):
+        runs = [sorted((draw.randrange(9), i, j) for j in range(draw.randrange(6))) for i in range(draw.randrange(8))]
+        assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(itertools.chain(*runs))
+
+
+def test_no_pages(spark, tmp_path):
+    assert warc.capture_history(spark.createDataFrame([], PAGES), str(tmp_path / "none")).count() == 0
+
+
+def test_url_keys():
+    assert warc.url_key("HTTP://www.Blog.example.COM/A?b=C") == "com,example,blog)/a?b=c"
+    assert warc.url_key("http://[bad") == "http://[bad" and warc.url_key("") == ")/"
+
+
+# Mixing
+
+
+def test_fit_is_the_best_sum():
+    draw = random.Random(3)
+    for _ in range(200):
+        n = draw.randint(1, 5)
+        lengths, counts = draw.sample(range(1, 25), n), [draw.randint(0, 4) for _ in range(n)]
+        budget = draw.randint(1, sum(a * b for a, b in zip(lengths, counts)) + 3)
+        taken = mixing.fit(lengths, counts, budget)
+        assert all(0 <= t <= c for t, c in zip(taken, counts))
+        chosen = mixing._knapsack(list(zip(range(n), lengths, counts)), budget)
+        sums = [sum(map(lambda a, b: a * b, lengths, some)) for some in itertools.product(*[range(c + 1) for c in counts])]
+        assert sum(lengths[i] * t for i, t in chosen.items()) == max(s for s in sums if s <= budget)
+        assert sum(a * b for a, b in zip(lengths, taken)) <= budget
+
+
+def test_fit_of_a_large_budget():
+    draw = random.Random(5)
+    lengths = list(range(1, 3_000))
+    counts = [draw.randrange(1, 60) for _ in lengths]
+    for budget in (70_000, 10_000_001, sum(a * b for a, b in zip(lengths, counts)) - 1):
+        taken = mixing.fit(lengths, counts, budget)
+        assert all(0 <= t <= c for t, c in zip(taken, counts))
+        assert sum(a * b for a, b in zip(lengths, taken)) == budget
+
+
+def plain_targets(sizes, weights=(5, 2, 1), share=1.5):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, open_, target = share * sum(sizes.values()), set(order), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * sizes[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        target |= {s: 2.0 * sizes[s] for s in full}
+        left -= sum(2 * sizes[s] for s in full)
+        open_ -= full
+    return target
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixture(spark, seed):
+    draw = random.Random(seed)
+    sources = ["a", "b", "é", "z", "Z", "", None]
+    rows = [(i, words(i, draw.randrange(1, 80)), draw.choices(sources, [900, 5, 3, 9, 2, 1, 4])[0]) for i in range(900)]
+    rows += [(1, rows[1][1], rows[1][2])] * 3 + [(None, "x y", "a"), (5, None, "nothing"), (6, " \n", "b")]
+    frame = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id bigint, text string, source string, size int, key string")
+    found = mixing.mixture(frame).collect()
+    assert sorted(map(repr, found)) == sorted(map(repr, mixing.mixture(frame).collect()))
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len((text or "").split())
+    targets = plain_targets(sizes)
+    by = {(r.source_size, r.target) for r in found}
+    assert {s for s, _ in by} == set(sizes.values())
+    assert {round(t, 6) for _, t in by} == {round(t, 6) for t in targets.values()}
+    taken = Counter()
+    for r in found:
+        assert r.taken in (0, r.size, 2 * r.size) or r.size == 0
+        taken[(r.source_size, r.target)] += r.taken
+    for (_, target), n in taken.items():
+        assert target - 1 < n <= target + 1e-6 or target - n < 80
+    whole = mixing.mix(frame)
+    assert whole.columns == frame.columns
+    words_out = sum(len((r.text or "").split()) for r in whole.collect())
+    assert words_out == sum(r.taken for r in found)
+
+
+def test_mixing_awkward(spark):
+    frame = awkward(spark)
+    assert mixing.mixture(frame).count() == len(awkward_rows())
+    assert mixing.mix(frame).schema.names == frame.schema.names
+    assert mixing.mixture(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
+    blank = frame.withColumn("text", F.lit(" "))
+    assert {(r.size, r.target, r.taken) for r in mixing.mixture(blank).collect()} == {(0, 0.0, 0)}
+
+
+# Near-duplicates
+
+
+def plain_fingerprint(text):
+    parts = (text or "").encode().lower().split()
+    if not parts:
+        return 0
+    shingles = [b" ".join(parts[i : i + 3]) for i in range(max(1, len(parts) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints):
+    """The smallest id that links reach, for each ``(doc_id, fingerprint)``."""
+    groups = []
+    for value in set(p for _, p in prints):
+        near = [g for g in groups if any((value ^ other).bit_count() <= 2 for other in g)]
+        groups = [g for g in groups if g not in near] + [{value}.union(*near)]
+    return {
+        value: min((d for d, p in prints if p in group and d is not None), default=None) for group in groups for value in group
+    }
+
+
+def test_fingerprints(monkeypatch):
+    texts = [r[1] for r in awkward_rows()] + [words(i, i % 7) for i in range(40)] + ["A\x0bB\x0cC D\x1cE"]
+    assert [simhash.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
+    monkeypatch.setattr(simhash, "CHUNK", 3)
+    assert [simhash.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
+def test_spark_hashes_alike(spark):
+    text = "a b é"
+    row = spark.createDataFrame([(text,)], "t string").select(F.xxhash64("t")).first()
+    assert row[0] % (1 << 64) == xxhash.xxh64_intdigest(text.encode(), 42)
+
+
+def cluster(seed, n):
+    """Fingerprints around a few centres, at all distances near two."""
+    draw = random.Random(seed)
+    centres = [draw.getrandbits(64) for _ in range(5)] + [0, (1 << 64) - 1]
+    values = []
+    for _ in range(n):
+        value = draw.choice(centres)
+        for bit in draw.sample(range(64), draw.choice([0, 1, 2, 2, 3, 4, 6])):
+            value ^= 1 << bit
+        values.append(value)
+    return values
+
+
+@pytest.mark.parametrize("probe", [simhash.PROBE, 0])
+def test_links_connect_all_that_is_near(spark, monkeypatch, probe):
+    monkeypatch.setattr(simhash, "PROBE", probe)
+    values = cluster(probe, 500)
+    prints = list(enumerate(values))
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in set(values)]
+    distinct = spark.createDataFrame(signed, "fp bigint")
+    edges = simhash.links(distinct)
+    for r in edges.collect():
+        assert 1 <= ((r.a ^ r.b) % (1 << 64)).bit_count() <= 2
+    roots = {r.node % (1 << 64): r.root for r in simhash.components(edges).collect()}
+    want = plain_components(prints)
+    for one, other in itertools.combinations(set(values), 2):
+        assert (roots.get(one, one) == roots.get(other, other)) == (want[one] == want[other])
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500)], "a bigint, b bigint")
+    found = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert found == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500}
+
+
+def test_near_duplicates(spark):
+    draw = random.Random(1)
+    rows = [(r[0], r[1]) for r in awkward_rows()]
+    for i in range(100, 160):
+        parts = words(i // 6, 400).split()
+        for _ in range(draw.randrange(3)):
+            parts[draw.randrange(400)] = "changed"
+        rows.append((i, " ".join(parts)))
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, fp int")
+    prints = [(d, plain_fingerprint(t)) for d, t in rows]
+    want = plain_components(prints)
+    found = simhash.near_duplicates(frame).collect()
+    assert Counter(map(repr, map(tuple, found))) == Counter(repr((d, f"{p:016x}", want[p])) for d, p in prints)
+    assert len({r.component_id for r in found}) < len({p for _, p in prints})
+    kept = simhash.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(map(repr, set(want.values())))
+
+
+def test_simhash_awkward(spark):
+    frame = awkward(spark)
+    found = simhash.near_duplicates(frame).collect()
+    assert len(found) == len(awkward_rows())
+    assert simhash.keep_one(frame).columns == frame.columns
+    assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
+    nameless = frame.withColumn("doc_id", F.lit(None).cast("bigint"))
+    assert {r.component_id for r in simhash.near_duplicates(nameless).collect()} == {None}
+    prints = {plain_fingerprint(r[1]) for r in awkward_rows()}
+    assert simhash.keep_one(nameless).count() == len(set(plain_components([(p, p) for p in prints]).values()))
+
+
+# Line dedup
+
+
+def one_edit(a, b):
+    if a == b:
+        return True
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
+
+
+def plain_lines(rows):
+    """The kept text and counts of each distinct ``(doc_id, text)``."""
+    order = sorted({r[:2] for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
+    seen, out = [], {}
+    for doc_id, text in order:
+        kept, exact, near = [], 0, 0
+        for line in text.split("\n"):
+            if not line.strip(" "):
+                kept.append(line)
+                continue
+            first_near = next((x for x in seen if x != line and min(len(x), len(line)) >= 20 and one_edit(x, line)), None)
+            if line in seen:
+                early = seen[: seen.index(line)]
+                if any(min(len(x), len(line)) >= 20 and one_edit(x, line) for x in early):
+                    near += 1
+                else:
+                    exact += 1
+                continue
+            if first_near is not None:
+                near += 1
+            else:
+                kept.append(line)
+            seen.append(line)
+        out[(doc_id, text)] = ("\n".join(kept), len(text.split("\n")), exact, near)
+    return out
+
+
+def edited(line, draw):
+    at = draw.randrange(len(line) + 1)
+    kind = draw.randrange(3)
+    return line[:at] + ("" if kind == 0 else draw.choice("abxyé")) + line[at + (kind != 1) :]
+
+
+@pytest.mark.parametrize("block", [line_dedup.BLOCK, 8])
+def test_dedup_lines(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    draw = random.Random(block)
+    base = [words(i, draw.choice([2, 5, 6, 7, 10, 40])) for i in range(30)] + ["a" * n for n in (18, 19, 20, 21, 31, 32, 33, 64, 65, 128)]
+    base += [("ab" * 40)[:n] for n in (63, 64, 65, 127, 128, 129)] + ["", "  ", "short"]
+    rows = []
+    for doc_id in range(60):
+        lines = []
+        for _ in range(draw.randrange(1, 12)):
+            line = draw.choice(base)
+            for _ in range(draw.choice([0, 0, 1, 1, 2])):
+                line = edited(line, draw)
+            lines.append(line)
+        rows.append((doc_id, "\n".join(lines)))
+    rows += [(None, base[0] + "\n" + base[1]), (100, None), (101, ""), (3, rows[3][1]), (102, "é" * 40 + "\n" + "é" * 39 + "e")]
+    frame = spark.createDataFrame([(*r, "l") for r in rows], "doc_id bigint, text string, line string")
+    want = plain_lines(rows)
+    found = line_dedup.dedup_lines(frame).collect()
+    expected = [(d, *want.get((d, t), (None, 0, 0, 0))) for d, t in rows]
+    assert Counter(map(repr, map(tuple, found))) == Counter(map(repr, expected))
+
+
+def test_dedup_lines_beyond_a_broadcast(spark, monkeypatch):
+    rows = [(i, f"{words(i % 5, 30)} {i // 5}\n{words(77, 20)}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(map(tuple, line_dedup.dedup_lines(frame).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
+    assert sorted(map(tuple, line_dedup.dedup_lines(frame).collect())) == want
+    plain = plain_lines(rows)
+    assert want == sorted((d, *plain[(d, t)]) for d, t in rows)
+
+
+def test_line_dedup_awkward(spark):
+    frame = awkward(spark)
+    found = line_dedup.dedup_lines(frame).collect()
+    assert len(found) == len(awkward_rows())
+    assert line_dedup.dedup_lines(empty(spark)).count() == 0
+
+
+def test_line_dedup_runs_no_python(spark, plan_of):
+    plan = plan_of(line_dedup.dedup_lines(awkward(spark)))
+    assert not re.search("EvalPython|InPandas|InArrow|BatchEval", plan)
