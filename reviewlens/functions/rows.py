@@ -17,6 +17,11 @@ def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def record(**fields: Column) -> Column:
+    """A struct with the given field names, inside lambdas too."""
+    return F.named_struct(*(part for name, value in fields.items() for part in (F.lit(name), value)))
+
+
 def places(array: str, starts_group: Callable[[Column, Column], Column]) -> Column:
     """Positions, from 0, of the elements that start a group."""
     marked = F.transform(array, lambda x, i: F.when(starts_group(x, i), i))

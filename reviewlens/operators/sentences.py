@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlens.functions.rows import record
 from reviewlens.functions.scores import sentiment_class
 from reviewlens.functions.text import sentence_array, valence_sum, word_array
-from reviewlens.sizing import bounded_rows, join_dimension
+from reviewlens.sizing import INLINE_ROWS, bounded_rows, join_dimension
 
 Lexicon = DataFrame | Mapping[str, int]
 
@@ -27,18 +30,57 @@ def sentences(
 
 
 def _distinct_terms(lexicon: DataFrame) -> DataFrame:
-    """One valence per lower-case term: the sum of its entries."""
-    return lexicon.groupBy(F.lower("term").alias("term")).agg(
+    """One valence per lower-case term: the sum of its entries that have one."""
+    entries = lexicon.where(F.col("term").isNotNull() & F.col("valence").isNotNull())
+    return entries.groupBy(F.lower("term").alias("term")).agg(
         F.sum("valence").cast("int").alias("valence")
     )
 
 
+def _folded(lexicon: Mapping[str, int]) -> dict[str, int]:
+    """The same for a dictionary."""
+    found: dict[str, int] = {}
+    for term, valence in lexicon.items():
+        if term is not None and valence is not None:
+            found[term.lower()] = found.get(term.lower(), 0) + valence
+    return found
+
+
 def inline_lexicon(lexicon: Lexicon) -> dict[str, int] | None:
     """The lexicon as a dictionary if small enough for a literal, otherwise ``None``."""
     if isinstance(lexicon, DataFrame):
         rows = bounded_rows(_distinct_terms(lexicon))
-        return None if rows is None else {r["term"]: r["valence"] for r in rows if r["term"]}
-    return {term.lower(): valence for term, valence in lexicon.items()}
+        return None if rows is None else {r["term"]: r["valence"] for r in rows}
+    found = _folded(lexicon)
+    return found if len(found) <= INLINE_ROWS else None
+
+
+def _frame(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
+    if isinstance(lexicon, DataFrame):
+        return _distinct_terms(lexicon)
+    return spark.createDataFrame(sorted(_folded(lexicon).items()), "term string, valence int")
+
+
+def scores_found(
+    sentences: DataFrame, lexicon: Lexicon, keys: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """Keys, ``sent_no`` and ``score`` of sentences; those with no word of the lexicon may be left out.
+
+    A short lexicon is part of the expression. A long one is joined to the words, and
+    only the words found are added up: one pass over the sentences, and an exchange of
+    the hits alone where the lexicon is broadcast.
+    """
+    at = [*keys, "sent_no"]
+    small = inline_lexicon(lexicon)
+    if small is not None:
+        total = valence_sum(word_array("sentence"), small)
+        return sentences.select(*at, F.coalesce(sentiment_class(total), F.lit(2)).alias("score"))
+    words = sentences.select(*at, F.posexplode(word_array("sentence")).alias("pos", "term"))
+    hits = join_dimension(words, _frame(sentences.sparkSession, lexicon), "term")
+    # A set of places, so that a sentence given twice is not counted twice.
+    places = F.collect_set(record(pos=F.col("pos"), valence=F.col("valence")))
+    total = F.aggregate(places, F.lit(0), lambda total, hit: total + hit["valence"])
+    return hits.groupBy(*at).agg(sentiment_class(total).alias("score"))
 
 
 def sentence_scores(
@@ -47,17 +89,18 @@ def sentence_scores(
     """Add ``score``, the class 0 to 4 of the summed valences of a sentence's words.
 
     A sentence without a word of the lexicon is neutral (2). A short lexicon is
-    part of the expression, so scoring adds no exchange; a long one is joined to
-    the words, and only the words found are added up and joined back.
+    part of the expression, so scoring adds no exchange; with a long one the scores
+    found are joined back by sentence. ``keys`` and ``sent_no`` name a sentence of a
+    text, and sentences alike in them and in their words are scored alike.
     """
     small = inline_lexicon(lexicon)
     if small is not None:
         total = valence_sum(word_array("sentence"), small)
         return sentences.withColumn("score", F.coalesce(sentiment_class(total), F.lit(2)))
-    at = [*keys, "sent_no"]
-    words = sentences.select(*at, F.explode(word_array("sentence")).alias("term"))
-    hits = join_dimension(words, _distinct_terms(lexicon), "term")
-    totals = hits.groupBy(*at).agg(F.sum("valence").alias("_valence"))
-    scored = sentences.join(totals, at, "left")
-    score = sentiment_class(F.coalesce("_valence", F.lit(0)))
-    return scored.withColumn("score", score).drop("_valence")
+    own = [*keys, "sent_no", "_sentence"]
+    marked = sentences.withColumn("_sentence", F.xxhash64("sentence"))
+    found = scores_found(marked, lexicon, [*keys, "_sentence"])
+    found = found.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(own)), F.col("score").alias("_score"))
+    same = reduce(and_, (marked[c].eqNullSafe(found[f"_{i}"]) for i, c in enumerate(own)))
+    scored = marked.join(found, same, "left")
+    return scored.select(*sentences.columns, F.coalesce("_score", F.lit(2)).alias("score"))

@@ -11,10 +11,14 @@ from reviewlens.operators.mentions import (
     mentions_by_length,
     non_pronouns,
 )
+from reviewlens.operators.local_opinions import chained_mentions
+from reviewlens.operators.local_terms import count_document_terms, top_terms
 from reviewlens.operators.sentences import sentence_scores, sentences
+from reviewlens.operators.tokens import term_arrays
 from reviewlens.plans.learned import fit_scorer, learned_scores
 from reviewlens.plans.opinions import review_opinions, review_records
 from reviewlens.sizing import INLINE_ROWS
+from reviewlens.wordlists import PRONOUNS
 from reviewlens.sources.sinks import record_json, write_record_json
 
 LEXICON = {"great": 2, "good": 1, "bad": -1, "awful": -2}
@@ -182,7 +186,7 @@ def test_union_of_mention_sets(spark):
 def test_mentions_look_up_their_sentence(texts, rows):
     split_up = sentences(texts("Good James. Bad Rose."))
     found = mention_scores(
-        chains(mentions(split_up, ["good", "bad"])).drop("sentence"), sentence_scores(split_up, LEXICON)
+        chains(mentions(split_up, ["good", "bad"])), sentence_scores(split_up, LEXICON)
     )
     assert rows(found, "sent_no", "sentence", "score") == [(1, "Good James.", 3), (2, "Bad Rose.", 1)]
 
@@ -257,3 +261,66 @@ def test_every_topic_is_a_name_of_its_chain(spark):
     )
     assert found.join(names, ["doc_id", "chain_key", "topic"], "left_anti").count() == 0
     assert found.where("score NOT BETWEEN 0 AND 4").count() == 0
+
+
+AWKWARD = [
+    (1, "Tom is good. He is bad. Tom is good."),
+    (1, "Rose is GREAT. It is awful."),
+    (1, "Rose is GREAT. It is awful."),
+    (None, "Ann is odd. Ann is Good."),
+    (None, None),
+    (2, None),
+    (2, ""),
+    (3, "no names here"),
+    (4, "The Tom Rose\nTom Rose good bad. She great. It. He odd awful!"),
+]
+ODD_LEXICON = [("Good", 1), ("good", 1), ("bad", -1), ("odd", None), (None, 3), ("AWFUL", -2), ("great", 2)]
+
+
+def awkward_lists(spark, long):
+    """A lexicon as frame and as dictionary, and stop words, just within the bound or beyond it."""
+    more = INLINE_ROWS if long else INLINE_ROWS - 10
+    filler = [f"unseen{i}" for i in range(more)]
+    frame = spark.createDataFrame(ODD_LEXICON + [(w, 1) for w in filler], "term string, valence int")
+    mapping = {t: v for t, v in ODD_LEXICON} | dict.fromkeys(filler, 1)
+    return frame, mapping, ["the", "no", "she", *filler]
+
+
+@pytest.mark.parametrize("which", ["frame", "mapping", "stop words"])
+def test_lists_on_either_side_of_the_bound_agree(spark, rows, which):
+    docs = spark.createDataFrame(AWKWARD, "doc_id bigint, text string")
+    found = []
+    for long in (False, True):
+        frame, mapping, stop = awkward_lists(spark, long)
+        lexicon = {"frame": frame, "mapping": mapping}.get(which, dict(LEXICON))
+        listed = stop if which == "stop words" else ["the", "no", "she"]
+        records = review_records(docs, lexicon, listed)
+        found.append(
+            (
+                rows(review_opinions(docs, lexicon, listed)),
+                rows(records),
+                rows(sentence_scores(sentences(docs), lexicon)),
+                rows(count_document_terms(docs, listed)),
+                rows(top_terms(docs, 2, listed)),
+                rows(term_arrays(docs, listed)),
+            )
+        )
+    assert found[0] == found[1]
+    assert len(found[0][1]) == len(AWKWARD)
+    assert rows(review_opinions(docs, LEXICON, by_mention=True)) == rows(review_opinions(docs, LEXICON))
+    assert rows(review_records(docs, LEXICON, by_mention=True)) == rows(review_records(docs, LEXICON))
+
+
+def long_text():
+    """Two million characters without a mark: one sentence of 200,000 names."""
+    return " ".join(f"Aa{chr(97 + i % 20)}xyz xx" for i in range(200_000))
+
+
+@pytest.mark.parametrize("by_mention", [False, True])
+def test_a_long_sentence_of_many_names(texts, by_mention):
+    docs = texts(long_text())
+    found = review_opinions(docs, LEXICON, by_mention=by_mention)
+    assert sorted(r.topic for r in found.select("topic").collect()) == sorted(f"Aa{chr(97 + i)}xyz" for i in range(20))
+    record = review_records(docs, LEXICON, by_mention=by_mention).select(F.size("sentiments")).head()
+    assert record[0] == 20
+    assert chained_mentions(docs, [], PRONOUNS).count() == 200_000
