@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from reviewlens.operators.ranking import number_rows, top_per_group
-from reviewlens.session import written_table
+from reviewlens.session import stored, written_table
+from reviewlens.sizing import join_dimension
 
 HEAD_TERMS = 100_000
 HEAD_TERM_BYTES = 100
@@ -42,7 +43,7 @@ def total_counts(doc_terms: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame, vocab_size: int | None = None) -> DataFrame:
     """Terms numbered from 0, most frequent first, equal counts by term.
 
-    The result is written to the checkpoint folder, as it is read many times.
+    The result is written as a table to the checkpoint folder, as it is read many times.
     With ``vocab_size`` only that many top terms are kept.
     """
     order = [F.desc("n"), F.asc("term")]
@@ -59,16 +60,20 @@ def bag_of_words(
     """Sparse vectors in long form: keys, ``term_index``, ``value`` (count as double).
 
     Terms outside the vocabulary are dropped. The most frequent terms, which are
-    the skewed ones, meet a broadcast of a fixed size; only rare ones shuffle.
+    the skewed ones, meet a broadcast of a fixed size. If there are others, the counts
+    are written once with the indices found so far, and only those without one are
+    looked up further, where long frequent terms are spread over tasks.
     """
     index = vocabulary.select("term", "term_index")
     in_head = (F.col("term_index") < head_terms) & (F.octet_length("term") <= HEAD_TERM_BYTES)
     head, tail = index.where(in_head), index.where(~in_head)
-    found = doc_terms.join(F.broadcast(head), "term")
-    if not tail.isEmpty():
-        rare = doc_terms.join(F.broadcast(head.select("term")), "term", "left_anti")
-        found = found.unionByName(rare.join(tail, "term"))
-    return found.select(*keys, "term_index", F.col("n").cast("double").alias("value"))
+    columns = [*keys, "term_index", F.col("n").cast("double").alias("value")]
+    if tail.isEmpty():
+        return doc_terms.join(F.broadcast(head), "term").select(*columns)
+    met = stored(doc_terms.select(*keys, "term", "n").join(F.broadcast(head), "term", "left"))
+    rare = met.where(F.col("term_index").isNull()).drop("term_index")
+    found = join_dimension(rare, tail, "term").select(*columns)
+    return met.where(F.col("term_index").isNotNull()).select(*columns).unionByName(found)
 
 
 def count_vectors(
@@ -82,7 +87,9 @@ def count_vectors(
     As wide as the vocabulary; a document without terms gets an empty vector.
     The vocabulary never passes through the driver: terms are looked up as in
     ``bag_of_words`` and each document's entries are written to a table in the
-    checkpoint folder, in the layout of a vector column, and read back as one.
+    checkpoint folder, in the layout of a vector column, and read back as one. The table
+    is there until :func:`reviewlens.session.release`. Documents that share their keys
+    share a vector.
     """
     size = vocabulary.count()
     if size > MAX_VECTOR_SIZE:

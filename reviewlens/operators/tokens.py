@@ -70,7 +70,8 @@ def term_arrays(
 ) -> DataFrame:
     """Kept terms per document as ``terms``; a document without any has ``[]``.
 
-    Without a lemma table and with a short stop list nothing leaves its row.
+    Without a lemma table and with a short stop list nothing leaves its row. Each row is a
+    document, whatever its keys.
     """
     few = inline_terms(stopwords)
     if lemmas is None and few is not None:
@@ -79,8 +80,15 @@ def term_arrays(
             words, lambda w: (F.length(w) > MIN_TERM_LENGTH) & ~w.isin(few or [""])
         )
         return docs.select(*keys, kept.alias("terms"))
-    listed = tokens(docs, stopwords, lemmas, lowercase, symbols, keys)
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "term")))
-    grouped = listed.groupBy(*keys).agg(ordered.getField("term").alias("terms"))
-    joined = docs.select(*keys).join(grouped, list(keys), "left")
-    return joined.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    # The empty term stands for the document itself; no word and no list has it.
+    words = F.concat(F.array(F.lit("")), F.coalesce(word_array("text", lowercase, symbols), F.array().cast("array<string>")))
+    numbered = docs.select(*keys, "text", F.monotonically_increasing_id().alias("_row"))
+    rows = numbered.select(*keys, "_row", F.posexplode(words).alias("pos", "term"))
+    if lemmas is not None:
+        rows = lemmatise(rows, lemmas.where("form <> ''"))
+    rows = rows.where((F.col("pos") == 0) | (F.length("term") > MIN_TERM_LENGTH))
+    listed = stopwords.where(F.col(stopwords.columns[0]) != "") if isinstance(stopwords, DataFrame) else set(stopwords) - {""}
+    rows = drop_terms(rows, listed)
+    term = F.when(F.col("pos") > 0, F.struct("pos", "term"))
+    grouped = rows.groupBy(*keys, "_row").agg(F.sort_array(F.collect_list(term)).getField("term").alias("terms"))
+    return grouped.drop("_row")

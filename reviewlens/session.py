@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -36,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     folder = folder or sc.getCheckpointDir()
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="reviewlens-")
     if sc.getCheckpointDir() is None:
@@ -50,8 +53,44 @@ def durable(df):
     return df.checkpoint()
 
 
+_WRITTEN: dict[str, list[str]] = {}
+"""Paths of the tables of each application."""
+
+
 def written_table(df) -> str:
-    """``df`` as a new Parquet table in the checkpoint folder; returns its path."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """``df`` as a new Parquet table in the checkpoint folder; returns its path.
+
+    :func:`release` removes the tables once what reads them is done.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return path
+
+
+def stored(df):
+    """``df`` read back from a written table, so later reads prune and push down."""
+    return df.sparkSession.read.schema(df.schema).parquet(written_table(df))
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables this application wrote with :func:`written_table`; how many they were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(settings).delete(place, True)
+    return len(paths)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end; write or collect what reads them before."""
+    app = spark.sparkContext.applicationId
+    outer = _WRITTEN.pop(app, [])
+    try:
+        yield
+    finally:
+        release(spark)
+        _WRITTEN[app] = outer

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlens.session import durable
+
 INLINE_ROWS = 10_000
 """Lookups up to this many rows become literals of the plan."""
 
@@ -46,13 +48,26 @@ def bounded_rows(df: DataFrame, limit: int = INLINE_ROWS) -> list[Row] | None:
     return rows if len(rows) <= limit else None
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether ``df`` is counted and weighed to be small enough for every executor."""
+def _weight(df: DataFrame) -> Column:
+    """Bytes of a row: texts and binaries by length, nested values by their JSON."""
     width = F.lit(0)
     for name, kind in df.dtypes:
-        size = F.octet_length(name) if kind in ("string", "binary") else F.lit(16)
-        width = width + F.coalesce(size, F.lit(0))
-    widths = df.select(width.cast("bigint").alias("width"))
+        if kind in ("string", "binary"):
+            size = F.octet_length(name)
+        elif kind.startswith(("array", "map", "struct", "vector", "matrix", "variant")):
+            size = 2 * F.octet_length(F.to_json(F.struct(name)))
+        else:
+            size = F.lit(0)
+        width = width + 16 + F.coalesce(size, F.lit(0))
+    return width.cast("bigint")
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether ``df`` is counted and weighed to be small enough for every executor.
+
+    No more rows are weighed than it takes to know.
+    """
+    widths = df.limit(BROADCAST_ROWS + 1).select(_weight(df).alias("width"))
     rows, size = widths.agg(F.count("width"), F.coalesce(F.sum("width"), F.lit(0))).head()
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
@@ -74,12 +89,15 @@ def term_frame(spark: SparkSession, terms: DataFrame | Iterable[str], name: str)
 
 
 def hot_keys(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys with more than an even task's share of the rows: fewer than there are tasks."""
+    """Keys with more than an even task's share of the rows: fewer than there are tasks.
+
+    The facts are read once; their counts are added up from what that wrote.
+    """
     spark = facts.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = facts.count() / tasks
-    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.where(F.col("_rows") > share).select(*keys)
+    counts = durable(facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    total = counts.agg(F.sum("_rows")).head()[0] or 0
+    hot = counts.where(F.col("_rows") > total / tasks).select(*keys)
     return spark.createDataFrame(hot.collect(), hot.schema)
 
 
@@ -88,20 +106,25 @@ def join_dimension(
 ) -> DataFrame:
     """Join facts to a dimension with unique keys when one key may hold much of the facts.
 
-    A dimension checked to be small is broadcast. Otherwise facts with a hot key
-    meet a broadcast of just those keys' rows and stay where they are, however many
-    they are; only the even rest is shuffled. Facts with a NULL key, which match
-    nothing, stay too. ``how``: inner, left, left_semi or left_anti.
+    A dimension checked to be small is broadcast. Otherwise the hot keys are counted, in
+    one pass over the facts, and a second one joins: facts of a hot key are spread over
+    as many parts as there are tasks, and just those keys' rows of the dimension are
+    repeated for each part. Facts with a NULL key, which match nothing, are spread too.
+    ``how``: inner, left, left_semi or left_anti.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if fits_broadcast(dimension):
         return facts.join(F.broadcast(dimension), keys, how)
-    hot = F.broadcast(hot_keys(facts, keys).withColumn("_hot", F.lit(True)))
-    stays = F.coalesce("_hot", F.lit(False))
+    spread_over = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_keys(facts, keys).withColumn("_hot", F.lit(True))
+    is_hot = F.coalesce("_hot", F.lit(False))
     for key in keys:
-        stays = stays | F.col(key).isNull()
-    marked = facts.join(hot, keys, "left").withColumn("_hot", stays)
-    few = dimension.join(hot.select(*keys), keys, "left_semi")
-    in_place = marked.where("_hot").drop("_hot").join(F.broadcast(few), keys, how)
-    moved = marked.where("NOT _hot").drop("_hot").join(dimension, keys, how)
-    return in_place.unionByName(moved)
+        is_hot = is_hot | F.col(key).isNull()
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(spread_over))
+    first, last = F.lit(0).cast("bigint"), F.lit(spread_over - 1).cast("bigint")
+    placed = facts.join(F.broadcast(hot), keys, "left")
+    placed = placed.withColumn("_part", F.when(is_hot, part).otherwise(first)).drop("_hot")
+    each = F.when(F.col("_hot"), F.sequence(first, last)).otherwise(F.array(first))
+    repeated = dimension.join(F.broadcast(hot), keys, "left")
+    repeated = repeated.withColumn("_part", F.explode(each)).drop("_hot")
+    return placed.join(repeated, [*keys, "_part"], how).drop("_part")

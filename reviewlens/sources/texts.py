@@ -16,12 +16,12 @@ def read_documents(
     path: str,
     keys: Sequence[str] = ("doc_id",),
     text: str = "text",
-    per_document: bool = True,
+    per_document: bool = False,
 ) -> DataFrame:
     """Key columns and ``text`` of a Parquet table of documents.
 
-    ``per_document`` lays the rows out by key, for work that groups by document;
-    without it rows stay where they are scanned, for corpus-wide aggregates.
+    Rows stay where they are scanned. ``per_document`` lays them out by key, which moves
+    all texts once, for work that groups them by document more than once.
     """
     docs = spark.read.parquet(path).select(*keys, F.col(text).alias("text"))
     return cluster_by(docs, *keys) if per_document else spread(docs, *keys)

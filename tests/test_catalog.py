@@ -15,7 +15,7 @@ def movies(spark):
     return spark.createDataFrame(
         [
             ("1", 1999, "The Red Bus", None),
-            ("2", 2015, "Mall Cop RED", ""),
+            ("2", 2015, "Grey Yard RED", ""),
             ("3", 1999, "Red Dawn", "Dawn breaks."),
             ("4", None, "Infrared", "Heat."),
             ("5", 2001, "Blue Bus", "Wheels."),
@@ -69,7 +69,7 @@ def test_response_is_one_object_in_page_order(movies):
     found = json.loads(search_response(movies, "red", size=3).head().json)
     assert found["query"] == "red"
     assert found["movies"] == [
-        {"mYear": 2015, "mId": "2", "mTitle": "Mall Cop RED", "mSynopsis": ""},
+        {"mYear": 2015, "mId": "2", "mTitle": "Grey Yard RED", "mSynopsis": ""},
         {"mYear": 1999, "mId": "1", "mTitle": "The Red Bus"},
         {"mYear": 1999, "mId": "3", "mTitle": "Red Dawn", "mSynopsis": "Dawn breaks."},
     ]
@@ -93,7 +93,7 @@ def test_counts_join_and_append(movies, reviews, rows):
     assert rows(catalog.review_counts(reviews)) == [("1", 120), ("2", 3)]
     joined = catalog.join_reviews(movies, reviews)
     assert joined.count() == 123
-    assert joined.where("movie_id = '2'").head().title == "Mall Cop RED"
+    assert joined.where("movie_id = '2'").head().title == "Grey Yard RED"
     assert catalog.append_reviews(reviews, reviews.limit(2), reviews).count() == 248
 
 

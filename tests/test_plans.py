@@ -3,20 +3,23 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from reviewlens.operators import catalog, terms
 from reviewlens.operators.local_terms import count_document_terms, top_terms
-from reviewlens.operators.mentions import chains, mentions
+from reviewlens.operators.mentions import chain_topics, chains, distinct_mentions, mentions, mentions_by_length
 from reviewlens.operators.sentences import sentence_scores, sentences
 from reviewlens.operators.tokens import tokens
-from reviewlens.plans.opinions import flat_opinions, review_opinions, review_records
-from reviewlens.checks.queries import _movies, _reviews
-from reviewlens.sizing import cluster_by
+from reviewlens.operators.local_opinions import chained_mentions
+from reviewlens.plans.opinions import review_opinions, review_records
+from reviewlens.checks.queries import QUERIES, _movies, _reviews
+from reviewlens.sizing import INLINE_ROWS, cluster_by, fits_broadcast, join_dimension
+from reviewlens.wordlists import ENGLISH_STOP_WORDS as STOP
+from reviewlens.wordlists import PRONOUNS
 
 FOLDER = "/root/testdata/sf0.001"
 LEXICON = {"er": 1, "ha": -1}
-FITS = {"lda_topics", "learned_scores"}
+FITS = {"lda_topics", "lda_facts", "learned_scores", "learned_classes"}
 
 
 def exchanges(plan: str) -> int:
@@ -30,9 +33,9 @@ def docs(spark):
     return spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - FITS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - FITS))
 def test_no_query_leaves_the_engine_or_pairs_all_rows(spark, plan_of, name):
-    plan = plan_of(queries()[name](spark, FOLDER))
+    plan = plan_of(QUERIES[name](spark, FOLDER))
     for operator in ("CartesianProduct", "NestedLoop", "EvalPython", "InPandas", "InArrow"):
         assert operator not in plan
 
@@ -64,11 +67,88 @@ def test_results_can_be_filtered_without_repeating_the_analysis(docs, plan_of):
 def test_one_layout_serves_the_operators_on_mentions(docs, plan_of):
     placed = cluster_by(docs, "doc_id")
     linked = chains(mentions(sentence_scores(sentences(placed), LEXICON)))
-    assert exchanges(plan_of(flat_opinions(linked))) == 1
+    assert exchanges(plan_of(linked)) == 1
     counted = terms.document_term_counts(tokens(placed))
     assert exchanges(plan_of(terms.top_document_terms(counted))) == 1
 
 
+def text_is_exchanged(plan: str) -> bool:
+    """Whether an exchange hands on a text or sentence column."""
+    for part in plan.split("\n\n"):
+        if re.match(r"\(\d+\) (Exchange|BroadcastExchange)", part):
+            if re.search(r"Input \[\d+\]: .*\b(text|sentence|review|said|_sentences)#", part):
+                return True
+    return False
+
+
+@pytest.mark.parametrize(
+    "build",
+    [
+        lambda d: terms.document_term_counts(tokens(d)),
+        lambda d: terms.total_counts(count_document_terms(d)),
+        lambda d: terms.top_document_terms(terms.document_term_counts(tokens(d))),
+        lambda d: chained_mentions(d, STOP, PRONOUNS),
+        lambda d: distinct_mentions(chained_mentions(d, STOP, PRONOUNS), chained_mentions(d, [], PRONOUNS)),
+        lambda d: chain_topics(chained_mentions(d, STOP, PRONOUNS)),
+        lambda d: mentions_by_length(chained_mentions(d, STOP, PRONOUNS)),
+        lambda d: chained_mentions(d, STOP, PRONOUNS, lexicon=LEXICON),
+        lambda d: review_opinions(d, LEXICON),
+        lambda d: review_records(d, LEXICON),
+        lambda d: chains(mentions(sentence_scores(sentences(d), LEXICON))),
+    ],
+)
+def test_no_text_is_exchanged(docs, plan_of, build):
+    assert not text_is_exchanged(plan_of(build(docs)))
+
+
+@pytest.mark.parametrize("long", ["lexicon", "stop words", "strict"])
+def test_long_lists_meet_the_text_in_one_exchange(spark, docs, plan_of, monkeypatch, long):
+    lexicon, stopwords = dict(LEXICON), list(STOP)
+    if long == "lexicon":
+        lexicon |= {f"unseen{i}": 1 for i in range(INLINE_ROWS)}
+    if long == "stop words":
+        stopwords += [f"unseen{i}" for i in range(INLINE_ROWS)]
+    plan = plan_of(review_opinions(docs, lexicon, stopwords, strict_initial=long == "strict"))
+    texts = [
+        part
+        for part in plan.split("\n\n")
+        if re.match(r"\(\d+\) Exchange", part) and re.search(r"Input \[\d+\]: .*\b(_?text|sentence|max)#", part)
+    ]
+    whole = [part for part in texts if "max" in part]
+    assert len(whole) == 1
+    assert not any("sentence#" in part for part in texts)
+
+
+def scans(plan: str) -> int:
+    """Reads of documents in the tree of a formatted plan."""
+    return len(re.findall(r"Scan parquet", plan.split("\n\n")[0]))
+
+
+def test_a_large_dimension_reads_the_facts_once_to_join(spark, docs, plan_of, monkeypatch):
+    monkeypatch.setattr("reviewlens.sizing.BROADCAST_ROWS", 1)
+    dimension = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(1).alias("one"))
+    found = join_dimension(docs, dimension, "doc_id")
+    assert scans(plan_of(found)) == 1
+    assert found.count() == 100
+
+
+def test_nested_values_are_weighed(spark, monkeypatch):
+    wide = spark.range(10).select("id", F.array_repeat(F.lit("x" * 100), 1_000).alias("names"))
+    assert fits_broadcast(wide)
+    monkeypatch.setattr("reviewlens.sizing.BROADCAST_BYTES", 1_500_000)
+    assert not fits_broadcast(wide)
+    assert fits_broadcast(wide.limit(1))
+
+
+def test_groups_of_any_rank_are_cut_before_their_exchange(spark, plan_of):
+    reviews = _reviews(spark, FOLDER)
+    for k in (50, 1_000, 1_001, 50_000):
+        plan = plan_of(catalog.first_reviews(reviews, k))
+        assert plan.count("WindowGroupLimit") >= 2 or exchanges(plan) == 2
+    found = catalog.first_reviews(reviews.repartition(7), 1_001).drop("rank")
+    assert found.exceptAll(reviews).count() == 0 and found.count() == reviews.count()
+
+
 def test_corpus_counts_combine_before_their_exchange(docs, plan_of):
     plan = plan_of(terms.term_counts(tokens(docs)))
     assert exchanges(plan) == 1

@@ -136,3 +136,28 @@ def test_a_term_that_is_a_third_of_all_rows(spark):
     assert bags.agg(F.sum("value")).head()[0] == 30_000
     assert bags.where("term_index = 0").agg(F.sum("value")).head()[0] == 10_000
     assert math.isclose(bags.count(), doc_terms.count())
+
+
+def test_tables_are_released(spark, texts):
+    import os
+
+    from reviewlens.session import _WRITTEN, release, scratch_tables, stored
+
+    with scratch_tables(spark):
+        kept = stored(texts("a", "b"))
+        path = _WRITTEN[spark.sparkContext.applicationId][0]
+        assert kept.count() == 2 and os.path.exists(path)
+    assert not os.path.exists(path)
+    stored(texts("a"))
+    assert release(spark) >= 1 and release(spark) == 0
+
+
+def test_long_frequent_terms_are_looked_up(spark, rows):
+    """Terms too long to be broadcast, one of them in a third of all rows."""
+    word = F.when(F.col("id") % 3 == 0, F.lit("x" * 200)).otherwise(F.concat(F.lit("w"), F.col("id") % 97))
+    found = spark.range(3_000).select((F.col("id") % 50).alias("doc_id"), word.alias("term"))
+    doc_terms = terms.document_term_counts(found)
+    ranked = terms.vocabulary(terms.total_counts(doc_terms))
+    bags = terms.bag_of_words(doc_terms, ranked)
+    want = doc_terms.join(ranked.drop("n"), "term").selectExpr("doc_id", "term_index", "CAST(n AS DOUBLE) AS value")
+    assert rows(bags) == rows(want)
