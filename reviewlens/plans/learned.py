@@ -9,17 +9,36 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.functions.text import WORD
+from reviewlens.functions.text import WORD, word_array
+
+
+MOST_FEATURES = 1 << 22
+
+
+def _buckets(labelled: DataFrame) -> int:
+    words = labelled.select(F.explode(word_array("sentence")).alias("word"))
+    distinct = words.agg(F.approx_count_distinct("word")).head()[0]
+    features = 1 << max(10, (4 * distinct - 1).bit_length())
+    if features > MOST_FEATURES:
+        raise ValueError(f"{distinct} words ask for {features} buckets: choose a number of features")
+    return features
 
 
 def fit_scorer(
     labelled: DataFrame,
-    features: int = 1 << 14,
+    features: int | None = None,
     max_iter: int = 30,
     reg: float = 1e-2,
     tol: float = 1e-4,
 ) -> PipelineModel:
-    """Train on ``sentence`` and its class ``score`` (0, 1, ...)."""
+    """Train on ``sentence`` and its class ``score`` (0, 1, ...).
+
+    ``features`` is the number of buckets that words are hashed to. By default it is four
+    times the distinct words, so that few of them share one. The driver holds a weight
+    for each bucket and class, so beyond ``MOST_FEATURES`` it has to be chosen.
+    """
+    if features is None:
+        features = _buckets(labelled)
     stages = [
         RegexTokenizer(inputCol="sentence", outputCol="_words", pattern=WORD, gaps=False),
         HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),

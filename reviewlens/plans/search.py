@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.functions.catalog import synopsis_or_default
 from reviewlens.operators.catalog import PAGE_SIZE, newest_first, title_search
-from reviewlens.operators.ranking import page
+from reviewlens.operators.ranking import after, page
 
 
 def search_movies(
@@ -18,6 +21,22 @@ def search_movies(
     return found.withColumn("synopsis", synopsis_or_default(F.col("synopsis")))
 
 
+def search_many(
+    movies: DataFrame, queries: Sequence[str], number: int = 1, size: int = PAGE_SIZE
+) -> DataFrame:
+    """The same page of several searches, each row with its ``query``; a blank one has no rows."""
+    pages = [search_movies(movies, query, number, size).withColumn("query", F.lit(query)) for query in queries]
+    return reduce(DataFrame.unionByName, pages)
+
+
+def search_after(
+    movies: DataFrame, query: str, year: int | None, movie_id: object, size: int = PAGE_SIZE
+) -> DataFrame:
+    """The page of a search that follows the movie with this year and id, however deep."""
+    found = after(title_search(movies, query), (year, movie_id), "year", "movie_id", descending=["year"], size=size)
+    return found.withColumn("synopsis", synopsis_or_default(F.col("synopsis")))
+
+
 def search_response(
     movies: DataFrame, query: str, number: int = 1, size: int = PAGE_SIZE
 ) -> DataFrame:
@@ -30,7 +49,7 @@ def search_response(
     # Member names of the answer.
     movie = F.struct(
         F.col("year").alias("mYear"),
-        F.col("movie_id").alias("mId"),
+        F.col("movie_id").cast("string").alias("mId"),
         F.col("title").alias("mTitle"),
         F.col("synopsis").alias("mSynopsis"),
     )

@@ -9,16 +9,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Field names of the answers, and elements per page.
-MOVIE_SCHEMA = "movies array<struct<id string, title string, year string, synopsis string>>"
-REVIEW_SCHEMA = "reviews array<struct<critic string, quote string>>"
+MOVIE_SCHEMA = "id string, title string, year string, synopsis string"
+REVIEW_SCHEMA = "critic string, quote string"
 PAGE_SIZE = 50
 
-_BROKEN = "_broken"
-
 
 class Parsed(NamedTuple):
     """Good rows, and a quarantine of ``reason``, ``element_no`` and ``raw``."""
@@ -33,19 +31,22 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _elements(payloads: DataFrame, schema: str, field: str) -> tuple[DataFrame, DataFrame]:
-    """Array elements one per row, and the payloads that have no such array."""
+    """Array elements one per row, and the payloads that have no such array.
+
+    The array is read as JSON texts, and each text as an element of its own, so what is
+    wrong in one says nothing about the others.
+    """
     keep = [c for c in payloads.columns if c != "value"]
-    parsed = payloads.withColumn(
-        "_json",
-        F.from_json(
-            "value", f"{schema}, {_BROKEN} string", {"columnNameOfCorruptRecord": _BROKEN}
-        ),
-    )
+    broken = {"columnNameOfCorruptRecord": "_broken"}
+    parsed = payloads.withColumn("_json", F.from_json("value", f"{field} array<string>, _broken string", broken))
     array = F.col(f"_json.{field}")
-    usable = F.col(f"_json.{_BROKEN}").isNull() & array.isNotNull()
-    elements = parsed.where(usable).select(
-        *keep, F.posexplode(array).alias("element_no", "element")
-    )
+    usable = F.col("_json._broken").isNull() & array.isNotNull()
+    elements = parsed.where(usable).select(*keep, F.posexplode(array).alias("element_no", "raw"))
+    is_object = F.ltrim("raw").startswith("{")
+    element = F.when(is_object, F.from_json("raw", f"{schema}, _broken string", broken))
+    elements = elements.select(*keep, "element_no", "raw", element.alias("element"))
+    whole = F.col("element._broken").isNull()
+    elements = elements.withColumn("element", F.when(whole, F.col("element")))
     unusable = parsed.where(~F.coalesce(usable, F.lit(False))).select(
         *keep,
         F.lit(f"no {field} array").alias("reason"),
@@ -57,18 +58,18 @@ def _elements(payloads: DataFrame, schema: str, field: str) -> tuple[DataFrame,
 
 def _set_aside(elements: DataFrame, reason: Column, unusable: DataFrame) -> DataFrame:
     bad = elements.withColumn("reason", reason).where(F.col("reason").isNotNull())
-    bad = bad.withColumn("raw", F.to_json("element")).drop("element")
-    return unusable.unionByName(bad)
+    return unusable.unionByName(bad.drop("element"), allowMissingColumns=True)
 
 
 def parse_movies(payloads: DataFrame) -> Parsed:
     """Movies of the payloads: ``movie_id``, ``year``, ``title``, ``synopsis``.
 
-    A number given as text is a year; a movie without id, title or year is bad.
+    A number given as text is a year, and so is one with a zero fraction; a movie
+    without id, title or year is bad.
     """
     elements, unusable = _elements(payloads, MOVIE_SCHEMA, "movies")
     keep = [c for c in payloads.columns if c != "value"]
-    year = F.col("element.year").try_cast("int")
+    year = F.regexp_replace("element.year", r"\.0+$", "").try_cast("int")
     reason = (
         F.when(F.col("element").isNull(), "not an object")
         .when(F.col("element.id").isNull(), "no id")
@@ -85,26 +86,45 @@ def parse_movies(payloads: DataFrame) -> Parsed:
     return Parsed(movies, _set_aside(elements, reason, unusable))
 
 
-def parse_reviews(payloads: DataFrame, page_size: int = PAGE_SIZE) -> Parsed:
+def _before(payloads: DataFrame, own: list[str]) -> DataFrame:
+    """Payloads with ``_before``: how many elements the earlier ones of the same movie have.
+
+    Payloads of a movie are those with equal columns but ``page``; they go by page, then
+    by what they hold. Only their sizes are exchanged and added up; payloads alike in all
+    are the same answer landed twice, and count once.
+    """
+    movie = [c for c in own if c != "page"]
+    order = ["page", "_value"] if "page" in own else ["_value"]
+    size = F.coalesce(F.size(F.from_json("value", "reviews array<string>")["reviews"]), F.lit(0))
+    marked = payloads.withColumn("_value", F.xxhash64("value"))
+    sizes = marked.select(*own, "_value", F.greatest(size, F.lit(0)).alias("_size")).distinct()
+    earlier = Window.partitionBy(*movie).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    named = starts.select(*(F.col(c).alias(f"_own_{c}") for c in own), F.col("_value").alias("_own"), "_before")
+    same = marked["_value"] == named["_own"]
+    for c in own:
+        same = same & marked[c].eqNullSafe(named[f"_own_{c}"])
+    return marked.join(named, same).select(*payloads.columns, "_before")
+
+
+def parse_reviews(payloads: DataFrame) -> Parsed:
     """Reviews of the payloads: ``review_id``, ``critic``, ``quote``.
 
-    ``review_id`` counts a movie's reviews from 0 over its pages (column ``page``
-    from 1, if there is one). A review without critic or quote is bad.
+    ``review_id`` counts a movie's reviews from 0 over its payloads, in the order of the
+    column ``page`` if there is one, whatever the size of a page; the other columns say
+    which movie it is. A review without critic or quote is bad, and leaves its number.
     """
-    elements, unusable = _elements(payloads, REVIEW_SCHEMA, "reviews")
     keep = [c for c in payloads.columns if c != "value"]
+    elements, unusable = _elements(_before(payloads, keep), REVIEW_SCHEMA, "reviews")
     reason = (
         F.when(F.col("element").isNull(), "not an object")
         .when(F.col("element.critic").isNull(), "no critic")
         .when(F.col("element.quote").isNull(), "no quote")
     )
-    number = F.col("element_no").cast("bigint")
-    if "page" in payloads.columns:
-        number = number + (F.col("page").cast("bigint") - 1) * page_size
     reviews = elements.where(reason.isNull()).select(
         *keep,
-        number.alias("review_id"),
+        (F.col("_before") + F.col("element_no")).cast("bigint").alias("review_id"),
         F.col("element.critic").alias("critic"),
         F.col("element.quote").alias("quote"),
     )
-    return Parsed(reviews, _set_aside(elements, reason, unusable))
+    return Parsed(reviews, _set_aside(elements.drop("_before"), reason, unusable.drop("_before")))

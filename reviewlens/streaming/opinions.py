@@ -66,17 +66,41 @@ def start_opinions(
     return stream.start()
 
 
-def finish(query: StreamingQuery, timeout: float = 3600) -> None:
-    """Wait for the end of the stream; a failed or unfinished stream is an error."""
-    if not query.awaitTermination(timeout):
+def finish(query: StreamingQuery, timeout: float | None = None) -> None:
+    """Wait for the end of the stream; a failed stream is an error.
+
+    Without ``timeout`` (seconds) it waits however long what has landed takes; with one
+    a stream that has not ended by then is stopped, which is an error too.
+    """
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream did not end within {timeout} seconds")
 
 
+def opinion_schema(
+    keys: Sequence[str] = ("doc_id",), nested: bool = False, key_type: str = "bigint"
+) -> StructType:
+    """What :func:`start_opinions` writes, with the ``batch_id`` of its folders."""
+    own = "".join(f"{key} {key_type}, " for key in keys)
+    opinions = "chain_key string, topic string, score int, sentence string"
+    if nested:
+        opinion = "struct<score: int, sentence: string>"
+        opinions = f"review string, sentiments array<struct<topic: string, opinions: array<{opinion}>>>"
+    return StructType.fromDDL(f"{own}{opinions}, batch_id int")
+
+
 def read_opinions(spark: SparkSession, sink: str, schema: StructType | None = None) -> DataFrame:
     """All opinions appended so far, with the ``batch_id`` that brought them.
 
-    Filter it by the key of one movie to start over for that movie.
+    Filter it by the key of one movie to start over for that movie. A stream that has
+    brought nothing yet has no folder to read: it is an empty frame of ``schema``, by
+    default that of flat opinions by ``doc_id``.
     """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return spark.createDataFrame([], schema or opinion_schema())
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(sink)

@@ -54,7 +54,7 @@ def test_reviews_count_over_pages(spark, rows):
     )
     good, bad = parse_reviews(given)
     assert rows(good, "movie_id", "review_id", "critic", "quote") == sorted(
-        [("9", 0, "c0", "q0"), ("9", 1, "c1", "q1"), ("9", 50, "c0", "q0"), ("9", 51, "c1", "q1")], key=repr
+        [("9", 0, "c0", "q0"), ("9", 1, "c1", "q1"), ("9", 2, "c0", "q0"), ("9", 3, "c1", "q1")], key=repr
     )
     assert rows(bad, "page", "element_no", "reason") == [(2, 2, "no quote")]
 
@@ -99,7 +99,36 @@ def test_rows_in_memory(spark, rows):
 
 def test_documents_are_laid_out_by_key_or_left_in_place(spark, plan_of):
     path = "/root/testdata/sf0.001/documents.parquet"
-    assert "Arguments: hashpartitioning(doc_id" in plan_of(read_documents(spark, path))
-    whole = read_documents(spark, path, per_document=False)
+    assert "Arguments: hashpartitioning(doc_id" in plan_of(read_documents(spark, path, per_document=True))
+    whole = read_documents(spark, path)
     assert sorted(whole.columns) == ["doc_id", "text"]
     assert whole.count() == spark.read.parquet(path).count()
+
+
+def test_a_bad_element_costs_only_itself(spark, rows):
+    given = payloads(
+        spark,
+        '{"movies":[1,{"id":"a","title":"T","year":1999.0},"text",[{"id":"x"}],null,{"id":{"b":1},"title":"U","year":"2000"}]}',
+        '{"movies":[{"id":"c","title":"V","year":2001.5},{"id":"d","title":"W","year":"1999.00"}]}',
+        '{"movies":7}',
+    )
+    good, bad = parse_movies(given)
+    assert rows(good) == [(0, "a", 1999, "T", None), (0, '{"b":1}', 2000, "U", None), (1, "d", 1999, "W", None)]
+    assert rows(bad, "page", "element_no", "reason") == sorted(
+        [(0, i, "not an object") for i in (0, 2, 3, 4)] + [(1, 0, "no year"), (2, None, "no movies array")], key=repr
+    )
+
+
+def test_review_ids_never_collide(spark, rows):
+    def page(n, first=0):
+        return json.dumps({"reviews": [{"critic": "c", "quote": f"q{first + i}"} for i in range(n)]})
+
+    given = [("a", 1, page(120)), ("a", 2, page(3, 500)), ("b", 2, page(2)), ("b", 1, "broken"), (None, 1, page(1))]
+    frame = spark.createDataFrame(given, "movie_id string, page int, value string")
+    good, _ = parse_reviews(frame)
+    ids = sorted(r.review_id for r in good.where("movie_id = 'a'").collect())
+    assert ids == list(range(123))
+    assert good.where("movie_id = 'a' AND page = 2").agg({"review_id": "min"}).head()[0] == 120
+    assert rows(good.where("movie_id IS NULL"), "review_id") == [(0,)]
+    pageless = spark.createDataFrame([("a", page(4)), ("a", page(4, 9))], "movie_id string, value string")
+    assert sorted(r.review_id for r in parse_reviews(pageless).rows.collect()) == list(range(8))

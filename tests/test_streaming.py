@@ -3,7 +3,7 @@ import json
 import pytest
 
 from reviewlens.plans.opinions import review_opinions
-from reviewlens.streaming.opinions import finish, read_opinions, read_review_stream, start_opinions
+from reviewlens.streaming.opinions import finish, opinion_schema, read_opinions, read_review_stream, start_opinions
 
 LEXICON = {"good": 1, "bad": -1}
 SCHEMA = "movie_id bigint, review_id bigint, text string"
@@ -75,3 +75,19 @@ def test_waiting_stream_times_out(spark, tmp_path):
     )
     with pytest.raises(TimeoutError):
         finish(query, 2)
+
+
+def test_a_stream_that_brought_nothing_is_empty(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    run(spark, tmp_path)
+    found = read_opinions(spark, str(tmp_path / "out"), opinion_schema(KEYS))
+    assert found.count() == 0 and found.columns == [*KEYS, "chain_key", "topic", "score", "sentence", "batch_id"]
+    assert read_opinions(spark, str(tmp_path / "out")).count() == 0
+
+
+@pytest.mark.parametrize("nested", [False, True])
+def test_the_schema_is_what_is_written(spark, tmp_path, nested):
+    land(tmp_path / "in", "r.json", REVIEWS)
+    run(spark, tmp_path, nested=nested)
+    written = read_opinions(spark, str(tmp_path / "out"))
+    assert dict(written.dtypes) == {f.name: f.dataType.simpleString() for f in opinion_schema(KEYS, nested)}
