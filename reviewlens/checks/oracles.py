@@ -3,17 +3,40 @@
 from __future__ import annotations
 
 from reviewlens.checks.queries import (
+    CAPPED_VOCABULARY,
+    LAST_SEEN,
     LEXICON,
     MOVIE,
+    NEAR_THE_END,
     REVIEWER,
     REVIEWS_PER_MOVIE,
     SEARCH,
+    SEARCHES,
     TOP_TERMS,
 )
-from reviewlens.functions.scores import LABELS, SEVERITIES, THUMBS
-from reviewlens.functions.text import CAPITALISED, MENTION, SENTENCE, WORD, WORD_OR_SYMBOLS
-from reviewlens.sources.payloads import PAGE_SIZE
-from reviewlens.wordlists import ENGLISH_STOP_WORDS, PRONOUNS
+
+# Fixed values, written out again so that the SQL can disagree with the package.
+SENTENCE = r"[^.!?\r\n]+[.!?]*"
+WORD = r"\p{L}+"
+WORD_OR_SYMBOLS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
+MENTION = r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*|\p{L}+"
+CAPITALISED = r"^\p{Lu}\p{L}"
+LABELS = ["very_negative", "negative", "neutral", "positive", "very_positive"]
+THUMBS = ["down down", "down", "up down", "up", "up up"]
+SEVERITIES = ["danger", "warning", "default", "success", "primary"]
+PAGE_SIZE = 50
+PRONOUNS = "he she it they him her them his its their".split()
+ENGLISH_STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself
+she her hers herself it its itself they them their theirs themselves what which who whom this
+that these those am is are was were be been being have has had having do does did doing a an
+the and but if or because as until while of at by for with about against between into through
+during before after above below to from up down in out on off over under again further then
+once here there when where why how all any both each few more most other some such no nor not
+only own same so than too very s t can will just don should now ll d m re ve isn aren wasn
+weren haven hasn hadn doesn didn won wouldn shan shouldn mustn couldn cannot could let ought
+would
+""".split()
 
 
 def _in(words) -> str:
@@ -46,7 +69,9 @@ RANKED = f"""{COUNTS},
   ranked AS (SELECT term, n, row_number() OVER (ORDER BY n DESC, term) - 1 AS term_index FROM counts)"""
 
 
-def _opinions(docs: str, keys: str, strict: bool = False) -> str:
+def _opinions(
+    docs: str, keys: str, strict: bool = False, stop: str = STOP, lexicon: str = f"VALUES {LEXICON_ROWS}"
+) -> str:
     """CTEs from texts to opinions; ``docs`` selects the keys and ``text``."""
     on = " AND ".join(f"h.{k.strip()} = s.{k.strip()}" for k in keys.split(","))
     names = f"""
@@ -67,7 +92,7 @@ def _opinions(docs: str, keys: str, strict: bool = False) -> str:
             FROM docs),
   sentences AS (SELECT {keys}, CAST(generate_subscripts(ss, 1) AS INTEGER) AS sent_no,
                        unnest(ss) AS sentence FROM split),
-  lexicon(term, valence) AS (VALUES {LEXICON_ROWS}),
+  lexicon(term, valence) AS ({lexicon}),
   hits AS (SELECT {keys}, sent_no, sum(valence) AS v
            FROM (SELECT {keys}, sent_no, unnest(regexp_extract_all(lower(sentence), '{WORD}')) AS term
                  FROM sentences) JOIN lexicon USING (term) GROUP BY ALL),
@@ -79,7 +104,7 @@ def _opinions(docs: str, keys: str, strict: bool = False) -> str:
            FROM (SELECT {keys}, sent_no, regexp_extract_all(sentence, '{MENTION}') AS ms FROM sentences)),
   candidates AS (SELECT *, lower(mention) IN {PRONOUN} AS is_pronoun FROM runs
                  WHERE lower(mention) IN {PRONOUN}
-                    OR (regexp_matches(mention, '{CAPITALISED}') AND lower(mention) NOT IN {STOP})),{chosen},
+                    OR (regexp_matches(mention, '{CAPITALISED}') AND lower(mention) NOT IN {stop})),{chosen},
   linked AS (SELECT *, last_value(CASE WHEN NOT is_pronoun
                                   THEN lower(string_split(mention, ' ')[-1]) END IGNORE NULLS)
                        OVER (PARTITION BY {keys} ORDER BY sent_no, pos
@@ -99,6 +124,11 @@ def _opinions(docs: str, keys: str, strict: bool = False) -> str:
 DOCUMENTS = "SELECT doc_id, text FROM documents"
 OPINIONS = _opinions(DOCUMENTS, "doc_id")
 STRICT = _opinions(DOCUMENTS, "doc_id", strict=True)
+NO_STOP = _opinions(DOCUMENTS, "doc_id", stop="('')")
+LONG_LEXICON = _opinions(
+    DOCUMENTS, "doc_id", lexicon=f"WITH {TOKENS} SELECT DISTINCT term, length(term) % 5 - 2 FROM tokens"
+)
+CHAINED = "doc_id, sent_no, pos, mention, is_pronoun, chain_key FROM chains"
 
 MOVIES = """
   movies AS (SELECT p_partkey AS movie_id, p_size + 1950 AS year, p_name AS title,
@@ -108,13 +138,20 @@ MOVIES = """
 SHOWN = "coalesce(nullif(synopsis, ''), 'No synopsis.') AS synopsis"
 REVIEWS = """
   reviews AS (SELECT conv_id AS movie_id, turn AS review_id, role AS critic, text AS quote,
-                     role AS review_type, 'us' AS country FROM conversations)"""
+                     role AS review_type, CASE WHEN turn % 3 = 2 THEN 'ca' ELSE 'us' END AS country
+              FROM conversations)"""
 NEWEST = "ORDER BY year DESC NULLS LAST, movie_id"
 
 
 def _found(query: str) -> str:
     words = " AND ".join(f"contains(lower(title), '{w.lower()}')" for w in query.split())
-    return f"SELECT * FROM movies WHERE {words}"
+    return f"SELECT * FROM movies WHERE {words or 'false'}"
+
+
+def _page_after(year: int, movie_id: int) -> str:
+    follows = f"(year < {year} OR year IS NULL OR (year = {year} AND movie_id > {movie_id}))"
+    return f"""WITH {MOVIES} SELECT movie_id, year, title, {SHOWN}
+        FROM ({_found(SEARCH.split()[0])} AND {follows} {NEWEST} LIMIT {PAGE_SIZE})"""
 
 
 ORACLES: dict[str, str] = {
@@ -129,6 +166,17 @@ ORACLES: dict[str, str] = {
         SELECT term, count(*) AS n FROM lemmatised
         WHERE length(term) > 1 AND term NOT IN {STOP} GROUP BY term""",
     "token_positions": f"WITH {TOKENS} SELECT doc_id, pos, term FROM tokens",
+    "stop_words_file": r"""SELECT DISTINCT term FROM
+        (SELECT unnest(regexp_split_to_array(text, '\s+')) AS term FROM documents) WHERE term <> ''""",
+    "text_corpus": r"""WITH
+        lines AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents),
+        clean AS (SELECT trim(replace(value, chr(13), ''), ' ' || chr(9)) AS text FROM lines)
+        SELECT text, count(*) AS n, true AS gapless FROM clean WHERE text <> '' GROUP BY text""",
+    "rows_in_memory": "SELECT row_number() OVER (ORDER BY item_id) - 1 AS doc_id, text FROM benchmark",
+    "bag_of_words_capped": f"""WITH {RANKED},
+        doc_terms AS (SELECT doc_id, term, count(*) AS m FROM tokens GROUP BY ALL)
+        SELECT doc_id, term_index, CAST(m AS DOUBLE) AS value FROM doc_terms JOIN ranked USING (term)
+        WHERE term_index < {CAPPED_VOCABULARY}""",
     "doc_term_counts": f"WITH {DOC_TERMS} SELECT *, CAST(length(term) AS INTEGER) AS length FROM doc_terms",
     "total_counts": f"WITH {COUNTS} SELECT term, n FROM counts",
     "vocabulary_rank": f"WITH {RANKED} SELECT term, n, term_index FROM ranked",
@@ -165,8 +213,8 @@ ORACLES: dict[str, str] = {
     "mentions_strict": f"WITH {STRICT} SELECT doc_id, sent_no, pos, mention, is_pronoun FROM mentions",
     "mention_chains": f"""WITH {OPINIONS}
         SELECT doc_id, sent_no, pos, mention, is_pronoun, chain_key FROM chains""",
-    "chain_mention_sets": f"""WITH {OPINIONS}
-        SELECT DISTINCT doc_id, sent_no, pos, mention, is_pronoun, chain_key FROM chains""",
+    "chain_mention_sets": f"""(WITH {OPINIONS} SELECT {CHAINED})
+        UNION (WITH {NO_STOP} SELECT {CHAINED})""",
     "chain_topics": f"WITH {OPINIONS} SELECT doc_id, chain_key, topic, n_mentions, n_names FROM topics",
     "chain_names": f"""WITH {OPINIONS},
         names AS (SELECT DISTINCT doc_id, chain_key, mention FROM chains WHERE NOT is_pronoun)
@@ -177,6 +225,12 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, sent_no, pos, mention, is_pronoun, chain_key, sentence, score
         FROM chains JOIN scored USING (doc_id, sent_no)""",
     "opinions_flat": f"WITH {OPINIONS} SELECT doc_id, chain_key, topic, score, sentence FROM opinions",
+    "opinions_long_lexicon": f"""WITH {LONG_LEXICON}
+        SELECT doc_id, chain_key, topic, score, sentence FROM opinions""",
+    "sentence_scores_long_lexicon": f"WITH {LONG_LEXICON} SELECT doc_id, sent_no, score FROM scored",
+    "learned_classes": f"WITH {OPINIONS} SELECT doc_id, sent_no, true AS in_range, true AS agrees FROM sentences",
+    "lda_facts": """SELECT CAST(range AS INTEGER) AS topic, CAST(5 AS BIGINT) AS n_terms, '1 2 3 4 5' AS ranks,
+        true AS falling, true AS known, true AS bounded FROM range(1, 6)""",
     "opinions_strict": f"WITH {STRICT} SELECT doc_id, chain_key, topic, score, sentence FROM opinions",
     "opinions_nested_json": f"""WITH {OPINIONS},
         per_topic AS (SELECT doc_id, topic,
@@ -197,10 +251,17 @@ ORACLES: dict[str, str] = {
     "title_matches": f"WITH {MOVIES} {_found(SEARCH)}",
     "second_page": f"""WITH {MOVIES} SELECT movie_id, year, title, {SHOWN}
         FROM ({_found(SEARCH.split()[0])} {NEWEST} LIMIT {PAGE_SIZE} OFFSET {PAGE_SIZE})""",
+    "several_searches": " UNION ALL ".join(
+        f"""SELECT * FROM (WITH {MOVIES} SELECT movie_id, year, title, {SHOWN}, '{query}' AS query
+            FROM ({_found(query)} {NEWEST} LIMIT {PAGE_SIZE}))"""
+        for query in SEARCHES
+    ),
+    "deep_page": _page_after(*LAST_SEEN),
+    "last_page": _page_after(*NEAR_THE_END),
     "blank_search": f"WITH {MOVIES} SELECT movie_id, year, title, {SHOWN} FROM movies WHERE false",
     "search_response": f"""WITH {MOVIES},
         found AS ({_found(SEARCH)} {NEWEST} LIMIT {PAGE_SIZE}),
-        answer AS (SELECT string_agg('{{"mYear":' || year || ',"mId":' || movie_id || ',"mTitle":'
+        answer AS (SELECT string_agg('{{"mYear":' || year || ',"mId":"' || movie_id || '","mTitle":'
             || to_json(title) || CASE WHEN synopsis IS NULL THEN ''
                                  ELSE ',"mSynopsis":' || to_json(synopsis) END || '}}',
             ',' {NEWEST}) AS movies FROM found)
@@ -223,7 +284,7 @@ ORACLES: dict[str, str] = {
     "movie_reviews_join": f"""WITH {MOVIES}, {REVIEWS}
         SELECT movie_id, review_id, critic, quote, review_type, country, year, title, {SHOWN}
         FROM reviews JOIN movies USING (movie_id)""",
-    "append_reviews": f"WITH {REVIEWS} SELECT * FROM reviews WHERE critic IN ('system', 'user', 'assistant')",
+    "append_reviews": f"WITH {REVIEWS} SELECT * FROM reviews",
     "movies_json_roundtrip": f"""WITH {MOVIES}
         SELECT CAST(floor(movie_id / {PAGE_SIZE}) AS BIGINT) AS page,
                CAST(movie_id AS VARCHAR) AS movie_id, year, title, synopsis FROM movies""",
@@ -245,5 +306,7 @@ ORACLES: dict[str, str] = {
 # The same results by the other way of computing them.
 ORACLES["doc_term_counts_grouped"] = ORACLES["doc_term_counts"]
 ORACLES["topk_terms_ranked"] = ORACLES["topk_terms_per_doc"]
+ORACLES["long_lemma_term_counts"] = ORACLES["lemma_term_counts"]
+ORACLES["scored_mentions_joined"] = ORACLES["scored_mentions"]
 ORACLES["opinions_from_mentions"] = ORACLES["opinions_flat"]
 ORACLES["records_from_mentions"] = ORACLES["opinions_nested_json"]

@@ -16,17 +16,15 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions.catalog import synopsis_or_default
 from reviewlens.functions.scores import score_label, score_severity, score_thumbs
-from reviewlens.functions.text import last_word
 from reviewlens.operators import catalog, terms
 from reviewlens.operators.local_terms import count_document_terms, top_terms
+from reviewlens.operators.local_opinions import chained_mentions
 from reviewlens.operators.mentions import (
     chain_topics,
-    chains,
     distinct_mentions,
     mention_scores,
     mentions,
     mentions_by_length,
-    non_pronouns,
 )
 from reviewlens.operators.ranking import number_rows, page
 from reviewlens.operators.sentences import sentence_scores, sentences
@@ -34,14 +32,21 @@ from reviewlens.operators.tokens import tokens
 from reviewlens.plans import learned, opinions, search, topics
 from reviewlens.session import shared_folder
 from reviewlens.sources.payloads import PAGE_SIZE, parse_movies, parse_reviews
-from reviewlens.sources.sinks import record_json
-from reviewlens.sources.texts import clean_lines, read_documents
+from reviewlens.sources.sinks import record_json, write_topics
+from reviewlens.sources.texts import (
+    clean_lines,
+    documents_from_rows,
+    read_documents,
+    read_stop_words,
+    read_text_corpus,
+)
 from reviewlens.streaming.opinions import (
     finish,
     read_opinions,
     read_review_stream,
     start_opinions,
 )
+from reviewlens.wordlists import ENGLISH_STOP_WORDS, PRONOUNS
 
 # Parameters shared with the SQL.
 LEXICON = {"er": 1, "es": 1, "ha": -1, "en": -1, "rewh": -2, "orre": 2, "worthless": -2}
@@ -50,16 +55,23 @@ MOVIE = 7
 REVIEWER = "assistant"
 REVIEWS_PER_MOVIE = 2
 TOP_TERMS = 5
+CAPPED_VOCABULARY = 1000
+SEARCHES = ["Red wid", " \t", "blue", "no such title"]
+LAST_SEEN, NEAR_THE_END = (1975, 300), (1951, 0)
+TRAINING_SENTENCES = 20_000
+AGREEMENT = 0.8
+STREAM_FILES = 4
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _documents(spark: SparkSession, sf: str) -> DataFrame:
+def _corpus(spark: SparkSession, sf: str) -> DataFrame:
     return read_documents(spark, f"{sf}/documents.parquet")
 
 
-def _corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return read_documents(spark, f"{sf}/documents.parquet", per_document=False)
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _movies(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,7 +95,7 @@ def _reviews(spark: SparkSession, sf: str) -> DataFrame:
         F.col("role").alias("critic"),
         F.col("text").alias("quote"),
         F.col("role").alias("review_type"),
-        F.lit("us").alias("country"),
+        F.when(F.col("turn") % 3 == 2, "ca").otherwise("us").alias("country"),
     )
 
 
@@ -125,6 +137,16 @@ def lemma_term_counts(spark, sf):
     return terms.term_counts(tokens(corpus, lemmas=lemmas))
 
 
+def long_lemma_term_counts(spark, sf):
+    """A lemma for every word of the corpus: a table above the bound of a broadcast."""
+    corpus = _corpus(spark, sf)
+    words = tokens(corpus).select("term").distinct()
+    plural = F.col("term").endswith("s") & (F.length("term") > 2)
+    lemma = F.when(plural, F.expr("left(term, length(term) - 1)")).otherwise(F.col("term"))
+    lemmas = words.select(F.col("term").alias("form"), lemma.alias("lemma"))
+    return terms.term_counts(tokens(corpus, lemmas=lemmas))
+
+
 def token_positions(spark, sf):
     return tokens(_corpus(spark, sf))
 
@@ -134,12 +156,12 @@ def doc_term_counts(spark, sf):
 
 
 def doc_term_counts_grouped(spark, sf):
-    counted = terms.document_term_counts(tokens(_documents(spark, sf)))
+    counted = terms.document_term_counts(tokens(_corpus(spark, sf)))
     return counted.withColumn("length", F.length("term"))
 
 
 def total_counts(spark, sf):
-    return terms.total_counts(terms.document_term_counts(tokens(_documents(spark, sf))))
+    return terms.total_counts(count_document_terms(_corpus(spark, sf)))
 
 
 def vocabulary_rank(spark, sf):
@@ -157,6 +179,12 @@ def bag_of_words_long(spark, sf):
     return terms.bag_of_words(count_document_terms(corpus), ranked)
 
 
+def bag_of_words_capped(spark, sf):
+    corpus = _corpus(spark, sf)
+    ranked = terms.vocabulary(terms.term_counts(tokens(corpus)), CAPPED_VOCABULARY)
+    return terms.bag_of_words(count_document_terms(corpus), ranked)
+
+
 def count_vectors(spark, sf):
     docs = _corpus(spark, sf)
     ranked = terms.vocabulary(terms.term_counts(tokens(docs)))
@@ -179,7 +207,7 @@ def topk_terms_per_doc(spark, sf):
 
 
 def topk_terms_ranked(spark, sf):
-    counted = terms.document_term_counts(tokens(_documents(spark, sf)))
+    counted = terms.document_term_counts(tokens(_corpus(spark, sf)))
     return terms.top_document_terms(counted, TOP_TERMS)
 
 
@@ -188,6 +216,32 @@ def corpus_lines(spark, sf):
     return clean_lines(lines)
 
 
+def stop_words_file(spark, sf):
+    """All texts as files of words, read back as a list of words."""
+    path = _folder(spark, "words")
+    _corpus(spark, sf).select("text").where("text IS NOT NULL").write.text(path)
+    return read_stop_words(spark, path)
+
+
+def text_corpus(spark, sf):
+    """All texts as files of lines, read back as numbered documents: each line, how often, and
+    whether the numbers are 0 and on without a gap."""
+    path = _folder(spark, "lines")
+    _corpus(spark, sf).select("text").where("text IS NOT NULL").write.text(path)
+    read = read_text_corpus(spark, path)
+    n, distinct, first, last = read.agg(
+        F.count("doc_id"), F.count_distinct("doc_id"), F.min("doc_id"), F.max("doc_id")
+    ).head()
+    gapless = n == distinct and (n == 0 or (first == 0 and last == n - 1))
+    return read.groupBy("text").agg(F.count(F.lit(1)).alias("n")).withColumn("gapless", F.lit(gapless))
+
+
+def rows_in_memory(spark, sf):
+    """The benchmark's texts, held by the caller; their number does not follow the corpus."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").select("text").collect()
+    return documents_from_rows(spark, [item.text for item in items])
+
+
 def document_numbers(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet").select("source", "doc_id")
     return number_rows(table, "source", "doc_id")
@@ -196,12 +250,14 @@ def document_numbers(spark, sf):
 # Sentences, mentions, opinions
 
 
-def _scored(spark, sf):
-    return sentence_scores(sentences(_documents(spark, sf)), LEXICON)
+def _chained(spark, sf, stopwords=ENGLISH_STOP_WORDS, lexicon=None):
+    return chained_mentions(_corpus(spark, sf), stopwords, PRONOUNS, lexicon=lexicon)
 
 
-def _chains(spark, sf):
-    return chains(mentions(sentences(_documents(spark, sf))))
+def _long_lexicon(spark, sf):
+    """A valence for every term of the corpus."""
+    words = tokens(_corpus(spark, sf)).select("term").distinct()
+    return words.withColumn("valence", (F.length("term") % 5 - 2).cast("int"))
 
 
 def all_sentences(spark, sf):
@@ -226,37 +282,38 @@ def score_counts(spark, sf):
 
 
 def all_mentions(spark, sf):
-    return mentions(sentences(_corpus(spark, sf))).drop("sentence")
+    return mentions(sentences(_corpus(spark, sf)))
 
 
 def strict_mentions(spark, sf):
-    return mentions(sentences(_corpus(spark, sf)), strict_initial=True).drop("sentence")
+    return mentions(sentences(_corpus(spark, sf)), strict_initial=True)
 
 
 def mention_chains(spark, sf):
-    return _chains(spark, sf).drop("sentence")
+    return _chained(spark, sf)
 
 
 def chain_mention_sets(spark, sf):
-    found = _chains(spark, sf).drop("sentence")
-    names = non_pronouns(found).where(last_word("mention") == F.col("chain_key"))
-    return distinct_mentions(found, names)
+    """Chains with and without a stop list: most mentions are in both."""
+    return distinct_mentions(_chained(spark, sf), _chained(spark, sf, stopwords=[]))
 
 
 def all_chain_topics(spark, sf):
-    return chain_topics(_chains(spark, sf))
+    return chain_topics(_chained(spark, sf))
 
 
 def chain_names(spark, sf):
-    listed = mentions_by_length(_chains(spark, sf))
+    listed = mentions_by_length(_chained(spark, sf))
     return listed.withColumn("names", F.array_join("names", "|"))
 
 
 def scored_mentions(spark, sf):
-    found = _chains(spark, sf).drop("sentence")
-    # The look-up is by document and sentence, so this side needs no other layout first.
+    return _chained(spark, sf, lexicon=LEXICON)
+
+
+def scored_mentions_joined(spark, sf):
     scored = sentence_scores(sentences(_corpus(spark, sf)), LEXICON)
-    return mention_scores(found, scored)
+    return mention_scores(_chained(spark, sf), scored)
 
 
 def opinions_flat(spark, sf):
@@ -264,11 +321,20 @@ def opinions_flat(spark, sf):
 
 
 def opinions_from_mentions(spark, sf):
-    return opinions.flat_opinions(chains(mentions(_scored(spark, sf))))
+    return opinions.review_opinions(_corpus(spark, sf), LEXICON, by_mention=True)
 
 
 def opinions_strict(spark, sf):
-    return opinions.review_opinions(_documents(spark, sf), LEXICON, strict_initial=True)
+    return opinions.review_opinions(_corpus(spark, sf), LEXICON, strict_initial=True)
+
+
+def opinions_long_lexicon(spark, sf):
+    return opinions.review_opinions(_corpus(spark, sf), _long_lexicon(spark, sf))
+
+
+def sentence_scores_long_lexicon(spark, sf):
+    found = sentence_scores(sentences(_corpus(spark, sf)), _long_lexicon(spark, sf))
+    return found.select("doc_id", "sent_no", "score")
 
 
 def opinions_nested_json(spark, sf):
@@ -276,15 +342,26 @@ def opinions_nested_json(spark, sf):
 
 
 def records_from_mentions(spark, sf):
-    docs = _documents(spark, sf)
-    linked = chains(mentions(sentence_scores(sentences(docs), LEXICON)))
-    return record_json(opinions.nested_opinions(linked, docs))
+    return record_json(opinions.review_records(_corpus(spark, sf), LEXICON, by_mention=True))
+
+
+def learned_classes(spark, sf):
+    """Five classes learned from sentences that the lexicon classed: are they classes, and do
+    they agree with it? At most ``TRAINING_SENTENCES`` are learned from, all are classed."""
+    scored = sentence_scores(sentences(_corpus(spark, sf)), LEXICON)
+    some = scored.orderBy(F.xxhash64("doc_id", "sent_no"), "doc_id", "sent_no").limit(TRAINING_SENTENCES)
+    model = learned.fit_scorer(some, features=1 << 14)
+    both = learned.learned_scores(model, scored.withColumnRenamed("score", "given"))
+    share = both.agg(F.avg((F.col("given") == F.col("score")).cast("int"))).head()[0] or 0.0
+    in_range = F.col("score").between(0, 4).alias("in_range")
+    return both.select("doc_id", "sent_no", in_range, F.lit(share >= AGREEMENT).alias("agrees"))
 
 
 def learned_scores(spark, sf):
     docs = _corpus(spark, sf)
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("score"))
-    model = learned.fit_scorer(docs.withColumnRenamed("text", "sentence").join(labels, "doc_id"))
+    labelled = docs.withColumnRenamed("text", "sentence").join(labels, "doc_id")
+    model = learned.fit_scorer(labelled, features=1 << 18)
     return learned.learned_scores(model, sentences(docs)).drop("sentence")
 
 
@@ -292,12 +369,32 @@ def lda_topics(spark, sf):
     return topics.discover_topics(_corpus(spark, sf)).topics()
 
 
+def lda_facts(spark, sf):
+    """What must hold of any fit, from the topic table as it was written."""
+    model = topics.discover_topics(_corpus(spark, sf), optimizer="online")
+    path = _folder(spark, "topics")
+    write_topics(model.topics(), path)
+    table = spark.read.parquet(path)
+    listed = table.join(model.vocabulary.select("term", F.lit(1).alias("known")), "term", "left")
+    weights = F.sort_array(F.collect_list(F.struct("rank", "weight")))["weight"]
+    found = listed.groupBy("topic").agg(
+        F.count("term").alias("n_terms"),
+        F.array_join(F.sort_array(F.collect_list("rank")), " ").alias("ranks"),
+        weights.alias("weights"),
+        (F.count("known") == F.count(F.lit(1))).alias("known"),
+        F.sum("weight").between(0, 1).alias("bounded"),
+    )
+    falling = F.col("weights") == F.sort_array("weights", asc=False)
+    return found.select("topic", "n_terms", "ranks", falling.alias("falling"), "known", "bounded")
+
+
 def stream_opinions(spark, sf):
-    table = "conversations.parquet"
-    schema = spark.read.parquet(f"{sf}/{table}").schema
-    arriving = read_review_stream(spark, sf, schema, "parquet", names=table)
+    """Conversations land in several files, one to a batch."""
+    run = _folder(spark, "stream-opinions")
+    landed = spark.read.parquet(f"{sf}/conversations.parquet")
+    landed.repartition(STREAM_FILES, "conv_id").write.parquet(f"{run}/landed")
+    arriving = read_review_stream(spark, f"{run}/landed", landed.schema, "parquet", 1, names="*.parquet")
     reviews = arriving.selectExpr("conv_id AS movie_id", "turn AS review_id", "text")
-    run = f"{shared_folder(spark)}/stream-opinions-{uuid.uuid4().hex}"
     keys = ("movie_id", "review_id")
     finish(start_opinions(reviews, f"{run}/sink", f"{run}/progress", LEXICON, keys=keys))
     return read_opinions(spark, f"{run}/sink").drop("batch_id")
@@ -322,6 +419,18 @@ def blank_search(spark, sf):
     return search.search_movies(_movies(spark, sf), "  ")
 
 
+def several_searches(spark, sf):
+    return search.search_many(_movies(spark, sf), SEARCHES)
+
+
+def deep_page(spark, sf):
+    return search.search_after(_movies(spark, sf), SEARCH.split()[0], *LAST_SEEN)
+
+
+def last_page(spark, sf):
+    return search.search_after(_movies(spark, sf), SEARCH.split()[0], *NEAR_THE_END)
+
+
 def search_response(spark, sf):
     return search.search_response(_movies(spark, sf), SEARCH)
 
@@ -358,8 +467,8 @@ def movie_reviews_join(spark, sf):
 
 def append_reviews(spark, sf):
     reviews = _reviews(spark, sf)
-    arrived = [reviews.where(F.col("critic") == critic) for critic in ("system", "user", "assistant")]
-    return catalog.append_reviews(*arrived)
+    by_user = F.coalesce(F.col("critic") == "user", F.lit(False))
+    return catalog.append_reviews(reviews.where(by_user), reviews.where(~by_user))
 
 
 # JSON
@@ -409,6 +518,7 @@ QUERIES: dict[str, Query] = {
     "corpus_term_counts": corpus_term_counts,
     "symbol_term_counts": symbol_term_counts,
     "lemma_term_counts": lemma_term_counts,
+    "long_lemma_term_counts": long_lemma_term_counts,
     "token_positions": token_positions,
     "doc_term_counts": doc_term_counts,
     "doc_term_counts_grouped": doc_term_counts_grouped,
@@ -416,10 +526,14 @@ QUERIES: dict[str, Query] = {
     "vocabulary_rank": vocabulary_rank,
     "vocabulary_size": vocabulary_size,
     "bag_of_words_long": bag_of_words_long,
+    "bag_of_words_capped": bag_of_words_capped,
     "count_vectors": count_vectors,
     "topk_terms_per_doc": topk_terms_per_doc,
     "topk_terms_ranked": topk_terms_ranked,
     "corpus_lines": corpus_lines,
+    "stop_words_file": stop_words_file,
+    "text_corpus": text_corpus,
+    "rows_in_memory": rows_in_memory,
     "document_numbers": document_numbers,
     "sentences": all_sentences,
     "sentence_scores": scored_sentences,
@@ -431,18 +545,26 @@ QUERIES: dict[str, Query] = {
     "chain_topics": all_chain_topics,
     "chain_names": chain_names,
     "scored_mentions": scored_mentions,
+    "scored_mentions_joined": scored_mentions_joined,
     "opinions_flat": opinions_flat,
     "opinions_from_mentions": opinions_from_mentions,
     "records_from_mentions": records_from_mentions,
     "opinions_strict": opinions_strict,
+    "opinions_long_lexicon": opinions_long_lexicon,
+    "sentence_scores_long_lexicon": sentence_scores_long_lexicon,
     "opinions_nested_json": opinions_nested_json,
     "learned_scores": learned_scores,
+    "learned_classes": learned_classes,
     "lda_topics": lda_topics,
+    "lda_facts": lda_facts,
     "stream_opinions": stream_opinions,
     "title_search": title_search,
     "title_matches": title_matches,
     "second_page": second_page,
     "blank_search": blank_search,
+    "several_searches": several_searches,
+    "deep_page": deep_page,
+    "last_page": last_page,
     "search_response": search_response,
     "movies_by_year": movies_by_year,
     "movie_synopses": movie_synopses,
