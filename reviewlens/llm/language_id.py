@@ -54,7 +54,7 @@ def grams(text: str) -> np.ndarray:
             for at in range(n):
                 code = code * np.uint32(257) + part[at : at + stop]
             code *= np.uint32(2654435761)
-            counts += np.bincount(code >> np.uint32(32 - 14), minlength=BUCKETS)
+            counts += np.bincount(code >> np.uint32(33 - BUCKETS.bit_length()), minlength=BUCKETS)
     return counts
 
 
@@ -166,12 +166,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Only the text is read. A null text, or one without a letter, is ``und`` with score 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
-            found = [known.predict(text.as_py()) for text in batch.column(1)]
+            found = [model.predict(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -190,13 +188,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The documents whose language is known, with the columns they came with."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([not rejected(known, text.as_py()) for text in texts], pa.bool_()))
+            yield batch.filter(pa.array([not rejected(model, text.as_py()) for text in texts], pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
 
