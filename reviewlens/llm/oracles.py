@@ -16,9 +16,7 @@ sized AS (
 ),
 summed AS (
   SELECT doc_id, size, xor(4294967295::BIGINT, list_reduce(
-      list_concat([4294967295::BIGINT], list_transform(range(1, size - 15),
-        lambda p: ((instr('0123456789ABCDEF', substr(h, 2 * p - 1, 1)) - 1) * 16
-          + instr('0123456789ABCDEF', substr(h, 2 * p, 1)) - 1)::BIGINT)),
+      list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)),
       lambda c, b: xor(steps[xor(c & 255, b) + 1], c >> 8))) AS text_crc32
   FROM sized, crc_table
 ),
