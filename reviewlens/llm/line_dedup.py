@@ -7,8 +7,9 @@ meet, the edit distance of those that met is verified, and the earliest stays.
 
 A line of ``n`` characters has ``n`` variants, so two things keep that small. Lines an edit
 apart share their first or their last half, so only lines that share a half with another
-one emit variants. And a variant is hashed as what stands before a block, the block less
-one character, and what follows, so that the parts around a block are hashed once for it.
+one go on. And a variant is hashed as what stands before a block, the block less one
+character, and what follows; variants of a block are emitted only if another line is the
+same before and after it, as a line an edit apart is around the edit.
 
 A bucket of equal variants gives each line its earliest partner and never a pair of all.
 Everything is built-in expressions.
@@ -64,10 +65,12 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return lines.where(F.trim("line") != "").withColumn("line_no", F.col("line_no") + 1)
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """``h1 h2 at at_line``: each line with one character less, and whole, block by block.
+def _blocks(lines: DataFrame) -> DataFrame:
+    """Blocks of lines outside of which another line is the same.
 
-    ``at`` is the place of the deletion, null for the whole line.
+    ``at_line start block head tail whole_tail``: hashes of what stands before the block,
+    and of what follows it, once with one character more in the block. Two lines an edit
+    apart share, at the block of the edit, the head and a tail.
     """
     length = F.char_length("line")
     # One start past the end as well: there the longer of two lines may have its last character.
@@ -82,9 +85,20 @@ def _variants(lines: DataFrame) -> DataFrame:
         F.xxhash64(F.substring("line", F.col("start") + BLOCK + 1, rest)).alias("whole_tail"),
         F.xxhash64(F.substring("line", F.col("start") + BLOCK + 2, rest)).alias("tail"),
     )
+    frames = F.array_distinct(F.array(*(F.xxhash64("start", "head", tail) for tail in ("tail", "whole_tail"))))
+    framed = parts.select("*", F.explode(frames).alias("frame"))
+    shared = framed.groupBy("frame").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("frame")
+    return framed.join(shared, "frame", "left_semi").drop("frame").dropDuplicates(["at_line", "start"])
+
+
+def _variants(lines: DataFrame) -> DataFrame:
+    """``h1 h2 at at_line``: lines with one character less, and whole, block by block.
+
+    ``at`` is the place of the deletion, null for the whole line.
+    """
     # Places 1 to the block's length delete that character; 0 stands for the whole line.
     places = F.sequence(F.lit(0), F.least(F.char_length("block"), F.lit(BLOCK)))
-    each = parts.select("*", F.explode(places).alias("place"))
+    each = _blocks(lines).select("*", F.explode(places).alias("place"))
     less = F.concat(
         F.substring("block", F.lit(1), F.col("place") - 1),
         F.substring("block", F.col("place") + 1, F.lit(BLOCK + 1)),
