@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.session import durable
+from reviewlens.session import durable, stored
 
 LEAST = 20
 """Shorter lines are compared exactly only: an edit is too much of them."""
@@ -159,26 +159,30 @@ def line_decisions(docs: DataFrame) -> DataFrame:
         "left_semi",
     )
     near_lines = durable(here.select(at_line.alias("at_line"), "line"))
-    near = _earliest_partners(near_lines).join(near_lines, "at_line").select(
-        *_two(F.col("line")), F.lit(None).cast(texts.schema["at_line"].dataType).alias("first"), F.lit(True).alias("near")
-    )
-    exact = texts.where(F.col("n") > 1).select("h1", "h2", F.col("at_line").alias("first"), F.lit(False).alias("near"))
-    repeated = exact.unionByName(near).groupBy("h1", "h2").agg(F.max("near").alias("near"), F.max("first").alias("first"))
+    near = _earliest_partners(near_lines).join(near_lines, "at_line")
+    near = near.select(*_two(F.col("line")), F.lit(True).alias("near"))
+    exact = texts.where(F.col("n") > 1)
+    exact = exact.select("h1", "h2", F.col("at_line").alias("first"), F.lit(False).alias("near"))
+    both = exact.unionByName(near, allowMissingColumns=True)
+    repeated = both.groupBy("h1", "h2").agg(F.max("near").alias("near"), F.max("first").alias("first"))
+    # From a table both sides of this join are exchanged for it, so a very common line can be split.
+    repeated = stored(repeated)
     met = seen.select("doc_id", "row", "line_no", "h1", "h2").join(repeated, ["h1", "h2"])
     dropped = F.col("near") | (F.col("first") != at_line)
     return met.where(dropped).select("doc_id", "row", "line_no", "near")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """One row per document row: ``doc_id``, ``text`` without dropped lines, ``n_lines``, ``n_exact``, ``n_near``.
+    """One row per document row: ``doc_id``, kept ``text``, ``n_lines``, ``n_exact``, ``n_near``.
 
     Lines stand between ``\\n``. In the order of ``doc_id`` (null first), then of the rows
     that share it, then of the lines, a line is dropped if an earlier one, dropped or not,
     is equal or one edit apart. ``n_near`` are the dropped lines whose text first occurs
-    after one that is an edit apart, ``n_exact`` the others. Edits are insertions, deletions and replacements of a character, and count for lines
-    of at least 20 characters. Blank lines stay and are not counted as dropped. Rows alike
-    in id and text are one document, given back as often as it was. A null text stays null
-    and has no lines; an empty one has one blank line.
+    after one that is an edit apart, ``n_exact`` the others. Edits are insertions,
+    deletions and replacements of a character, and count for lines of at least 20
+    characters. Blank lines stay and are not counted as dropped. Rows alike in id and text
+    are one document, given back as often as it was. A null text stays null and has no
+    lines; an empty one has one blank line.
     """
     dropped = line_decisions(docs)
     lists = dropped.groupBy("doc_id", "row").agg(
@@ -187,7 +191,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "gone", "n_near")
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    joined = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))
+    joined = rows.join(lists, same, "left")
     held = joined.select("doc_id", "text", "gone", "n_near", F.split("text", "\n").alias("lines"))
     stay = F.array_except(F.sequence(F.lit(1), F.size("lines")), "gone")
     kept = F.transform(stay, lambda line_no: F.get("lines", line_no - 1))
