@@ -8,7 +8,9 @@ the way is dropped before all bits are compared.
 
 Work is on distinct fingerprints, so exact copies meet as one. A bucket of fingerprints
 yields the edges of a spanning forest, never its pairs, and components of the forest are
-found by stars that contract.
+found by stars that contract. A crowded bucket is split by a second ring over the bits that
+its chain leaves free; what agrees in both has 22 free bits, so no bucket in a task holds
+more than 2^22 fingerprints.
 """
 
 from __future__ import annotations
@@ -32,7 +34,12 @@ CHUNK = 1 << 16
 """Shingles whose bits are counted at a time."""
 
 PROBE = 4_096
-"""In a bucket of more fingerprints, neighbours are looked up instead of compared."""
+CROWDED = 1 << 16
+"""In a bucket of more fingerprints neighbours are looked up instead of compared; one of
+still more is split by a second ring."""
+
+BROADCAST_ROWS = 100_000
+"""So many crowded buckets are broadcast, at 30 bytes each; more are joined by exchange."""
 
 
 def segments(count: int = SEGMENTS) -> list[tuple[int, int]]:
@@ -83,14 +90,27 @@ def fingerprints(docs: DataFrame, *extra: Column) -> DataFrame:
     return needed.mapInArrow(computed, f"{fields}, fp bigint")
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
 def _mask(start: int, length: int) -> int:
-    """The bits of ``length`` segments from ``start`` on around the ring, as a signed long."""
+    """The bits of ``length`` segments from ``start`` on around the ring."""
     ring = segments()
     mask = 0
     for at in range(start, start + length):
         shift, width = ring[at % SEGMENTS]
         mask |= ((1 << width) - 1) << shift
-    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+    return mask
+
+
+def _second_masks(start: int) -> list[int]:
+    """The chains of a ring over the bits that the chain from ``start`` leaves free."""
+    chain = _mask(start, free_chain())
+    free = [bit for bit in range(BITS) if not chain >> bit & 1]
+    edges = [len(free) * at // SEGMENTS for at in range(SEGMENTS + 1)]
+    parts = [sum(1 << bit for bit in free[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(parts[(at + step) % SEGMENTS] for step in range(free_chain())) for at in range(SEGMENTS)]
 
 
 def _forest(values: np.ndarray, start: int) -> Iterator[tuple[int, int]]:
@@ -101,7 +121,7 @@ def _forest(values: np.ndarray, start: int) -> Iterator[tuple[int, int]]:
     ring, fixed = segments(), free_chain()
     chain = []  # bits of the chain up to here, and what they may differ by
     for length in range(fixed + 1, SEGMENTS):
-        chain.append((np.uint64(_mask(start + fixed, length - fixed) % (1 << BITS)), DISTANCE * length // len(ring)))
+        chain.append((np.uint64(_mask(start + fixed, length - fixed)), DISTANCE * length // len(ring)))
     left = values
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -123,7 +143,7 @@ def _forest(values: np.ndarray, start: int) -> Iterator[tuple[int, int]]:
 def _probed(values: np.ndarray, start: int) -> Iterator[tuple[int, int]]:
     """The same for a large bucket: each fingerprint looks up what one or two flips make of it."""
     values = np.sort(values)
-    chain = _mask(start, free_chain()) % (1 << BITS)
+    chain = _mask(start, free_chain())
     free = [1 << bit for bit in range(BITS) if not chain >> bit & 1]
     flips = [*free, *(a | b for at, a in enumerate(free) for b in free[at + 1 :])]
     parent = np.arange(len(values))
@@ -143,16 +163,41 @@ def _probed(values: np.ndarray, start: int) -> Iterator[tuple[int, int]]:
                 yield int(values[a]), int(values[place[a]])
 
 
+def _buckets(distinct: DataFrame) -> DataFrame:
+    """``start``, ``fps``: fingerprints that agree in the chain from ``start``, two at least.
+
+    Buckets of more than ``CROWDED`` are split so that what is linked still meets in one.
+    """
+
+    def chain(start: int) -> Column:
+        agreed = F.col("fp").bitwiseAND(F.lit(_signed(_mask(start, free_chain()))))
+        return F.struct(F.lit(start).alias("start"), agreed.alias("chain"))
+
+    keyed = distinct.select("fp", F.inline(F.array(*map(chain, range(SEGMENTS)))))
+    sizes = keyed.groupBy("start", "chain").agg(F.count(F.lit(1)).alias("n"))
+    crowded = durable(sizes.where(F.col("n") > CROWDED).select("start", "chain", F.lit(True).alias("crowded")))
+    n_crowded = crowded.count()
+    by = ["start", "chain"]
+    if n_crowded:
+        masks = F.array(
+            *(F.array(*(F.lit(_signed(mask)) for mask in _second_masks(start))) for start in range(SEGMENTS))
+        )
+
+        def second(mask: Column, at: Column) -> Column:
+            return F.struct(at.alias("second"), F.col("fp").bitwiseAND(mask).alias("part"))
+
+        split = F.transform(F.get(masks, F.col("start")), second)
+        whole = F.array(F.struct(F.lit(-1).alias("second"), F.lit(0).cast("long").alias("part")))
+        few = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
+        marked = keyed.join(few, by, "left")
+        keyed = marked.select(*by, "fp", F.inline(F.when(F.col("crowded"), split).otherwise(whole)))
+        by = [*by, "second", "part"]
+    buckets = keyed.groupBy(*by).agg(F.collect_list("fp").alias("fps"))
+    return buckets.where(F.size("fps") > 1).select("start", "fps")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """``a``, ``b``: enough links between distinct fingerprints ``fp`` to connect all that are linked."""
-    chains = F.array(
-        *(
-            F.struct(F.lit(start).alias("start"), F.col("fp").bitwiseAND(F.lit(_mask(start, free_chain()))).alias("chain"))
-            for start in range(SEGMENTS)
-        )
-    )
-    keyed = distinct.select("fp", F.inline(chains))
-    buckets = keyed.groupBy("start", "chain").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +208,7 @@ def links(distinct: DataFrame) -> DataFrame:
             pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return buckets.select("start", "fps").mapInArrow(linked, "a bigint, b bigint")
+    return _buckets(distinct).mapInArrow(linked, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

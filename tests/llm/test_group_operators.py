@@ -296,10 +296,11 @@ def cluster(seed, n):
     return values
 
 
-@pytest.mark.parametrize("probe", [simhash.PROBE, 0])
-def test_links_connect_all_that_is_near(spark, monkeypatch, probe):
+@pytest.mark.parametrize("probe, crowded", [(simhash.PROBE, simhash.CROWDED), (0, simhash.CROWDED), (simhash.PROBE, 4), (0, 1)])
+def test_links_connect_all_that_is_near(spark, monkeypatch, probe, crowded):
     monkeypatch.setattr(simhash, "PROBE", probe)
-    values = cluster(probe, 500)
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    values = cluster(probe + crowded, 500)
     prints = list(enumerate(values))
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in set(values)]
     distinct = spark.createDataFrame(signed, "fp bigint")
