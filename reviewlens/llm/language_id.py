@@ -114,10 +114,10 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         def rows():
             for lang, counts in found.items():
                 used = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())],
-                    names=["lang", "bucket", "n"],
-                )
+                columns = [[lang] * len(used), used, counts[used]]
+                kinds = [pa.string(), pa.int32(), pa.int64()]
+                arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "bucket", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -130,7 +130,8 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         yield from rows()
 
     useful = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    return useful.mapInArrow(counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = useful.mapInArrow(counted, "lang string, bucket int, n bigint")
+    return found.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def train(labelled: DataFrame) -> Model:
@@ -139,7 +140,8 @@ def train(labelled: DataFrame) -> Model:
     Without any such row the model knows no language and answers ``und``; with a single
     language it answers that one.
     """
-    counts = gram_counts(labelled).groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("n"))
+    both = (F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("n"))
+    counts = gram_counts(labelled).groupBy("lang").agg(*both)
     rows = counts.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")

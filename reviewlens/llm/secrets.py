@@ -36,7 +36,9 @@ REGISTRY_PREFIXES = ("npm_",)
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 CHECKED = re.compile(r"[a-z]+_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 CARD_WORDS = ("card", "visa", "mastercard")
-CARD = re.compile(r"(?:card|visa|mastercard)[^0-9\n]{0,20}([0-9](?:[ -]?[0-9]){12,18})(?![0-9])", re.IGNORECASE | re.ASCII)
+CARD = re.compile(
+    r"(?:card|visa|mastercard)[^0-9\n]{0,20}([0-9](?:[ -]?[0-9]){12,18})(?![0-9])", re.IGNORECASE | re.ASCII
+)
 
 Span = tuple[int, int, str]
 

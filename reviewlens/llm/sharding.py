@@ -62,7 +62,11 @@ def jump_shards(key: Column, shards: int) -> Column:
         high, low = _advanced(seen["high"], seen["low"])
         to = F.floor((seen["to"] + 1).cast("double") * (F.lit(SCALE) / (_shift(high, 1) + 1).cast("double")))
         moved = F.struct(
-            high.alias("high"), low.alias("low"), seen["at"].alias("before"), seen["to"].alias("at"), to.cast("bigint").alias("to")
+            high.alias("high"),
+            low.alias("low"),
+            seen["at"].alias("before"),
+            seen["to"].alias("at"),
+            to.cast("bigint").alias("to"),
         )
         return F.when(seen["to"] > last, seen).otherwise(moved)
 
@@ -130,7 +134,12 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
         part.alias("part"),
     )
     rows = rows.select(
-        "doc_id", "size", "text_crc32", "part", F.col("placed.shard").alias("shard"), F.col("placed.grown").alias("grown_shard")
+        "doc_id",
+        "size",
+        "text_crc32",
+        "part",
+        F.col("placed.shard").alias("shard"),
+        F.col("placed.grown").alias("grown_shard"),
     )
     order = Window.partitionBy("shard", "part").orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "size")
     rows = rows.withColumn("place", F.row_number().over(order)).join(starts, ["shard", "part"])

@@ -146,9 +146,11 @@ def token_counts(
         counter = Counter(path, chunk, overlap)
         for batch in batches:
             counts = pa.array([counter.count(value.as_py()) for value in batch.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], names=["doc_id", "n_bytes", "n_tokens"])
+            columns = [batch.column(0), batch.column(1), counts]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens"])
 
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", n_bytes, "text").mapInArrow(counted, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
+    schema = f"doc_id {kind}, n_bytes bigint, n_tokens bigint"
+    found = docs.select("doc_id", n_bytes, "text").mapInArrow(counted, schema)
     return found.withColumn("over_limit", F.col("n_tokens") > limit)

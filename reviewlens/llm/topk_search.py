@@ -166,11 +166,11 @@ def _in_shards(rows: DataFrame, queries: DataFrame, shards: int, k: int) -> Data
     kinds = ["shard", "kind", "id", "vector", "floor"]
     # A vector meets those of its own length; the shard of its name says which.
     name = F.concat_ws(":", F.size("vector"), "shard")
-    both = rows.select(name.alias("shard"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "vector", F.lit(None).cast("long").alias("floor"))
-    both = both.unionByName(
-        queries.select(name.alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "vector", "floor")
-    )
-    laid = both.select(*kinds).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
+    shard, row, query = name.alias("shard"), F.lit(0).alias("kind"), F.lit(1).alias("kind")
+    no_floor = F.lit(None).cast("long").alias("floor")
+    held = rows.select(shard, row, F.col("vec_id").alias("id"), "vector", no_floor)
+    asked = queries.select(shard, query, F.col("query_id").alias("id"), "vector", "floor")
+    laid = held.unionByName(asked).select(*kinds).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
     return laid.mapInArrow(_searched(k), FOUND)
 
 
@@ -190,7 +190,8 @@ def top_k(
 
     def clean(frame: DataFrame) -> DataFrame:
         kept = frame.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-        return kept.select(F.col("vec_id").cast("long").alias("vec_id"), whole_parts(F.col("embedding")).alias("vector"))
+        vector = whole_parts(F.col("embedding")).alias("vector")
+        return kept.select(F.col("vec_id").cast("long").alias("vec_id"), vector)
 
     if queries is None:
         queries = vectors.where(F.col("vec_id") % 100 == 0)

@@ -90,6 +90,7 @@ def _record() -> Column:
         line("Content-Length", F.col("payload_bytes").cast("string")),
         F.lit("\r\n"),
     )
+    profile = F.concat(line("WARC-Profile", REVISIT), line("WARC-Refers-To", page(F.col("refers_to"))))
     block_bytes = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
     return F.concat(
         F.lit("WARC/1.1\r\n"),
@@ -98,9 +99,7 @@ def _record() -> Column:
         line("WARC-Target-URI", url),
         line("WARC-Date", F.col("captured")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
-        F.when(revisit, F.concat(line("WARC-Profile", REVISIT), line("WARC-Refers-To", page(F.col("refers_to"))))).otherwise(
-            ""
-        ),
+        F.when(revisit, profile).otherwise(""),
         line("Content-Type", "application/http; msgtype=response"),
         line("Content-Length", block_bytes.cast("string")),
         F.lit("\r\n"),
