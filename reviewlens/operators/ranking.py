@@ -54,7 +54,9 @@ def top_per_group(
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def after(df: DataFrame, place: Sequence[object], *columns: str, descending: Sequence[str] = (), size: int = 50) -> DataFrame:
+def after(
+    df: DataFrame, place: Sequence[object], *columns: str, descending: Sequence[str] = (), size: int = 50
+) -> DataFrame:
     """The ``size`` rows that follow ``place``, the values of ``columns`` in the last row seen.
 
     A page deep in a long list costs no more than the first one: rows before it are

@@ -81,14 +81,17 @@ def term_arrays(
         )
         return docs.select(*keys, kept.alias("terms"))
     # The empty term stands for the document itself; no word and no list has it.
-    words = F.concat(F.array(F.lit("")), F.coalesce(word_array("text", lowercase, symbols), F.array().cast("array<string>")))
+    nothing = F.array().cast("array<string>")
+    words = F.concat(F.array(F.lit("")), F.coalesce(word_array("text", lowercase, symbols), nothing))
     numbered = docs.select(*keys, "text", F.monotonically_increasing_id().alias("_row"))
     rows = numbered.select(*keys, "_row", F.posexplode(words).alias("pos", "term"))
     if lemmas is not None:
         rows = lemmatise(rows, lemmas.where("form <> ''"))
     rows = rows.where((F.col("pos") == 0) | (F.length("term") > MIN_TERM_LENGTH))
-    listed = stopwords.where(F.col(stopwords.columns[0]) != "") if isinstance(stopwords, DataFrame) else set(stopwords) - {""}
-    rows = drop_terms(rows, listed)
+    if isinstance(stopwords, DataFrame):
+        rows = drop_terms(rows, stopwords.where(F.col(stopwords.columns[0]) != ""))
+    else:
+        rows = drop_terms(rows, set(stopwords) - {""})
     term = F.when(F.col("pos") > 0, F.struct("pos", "term"))
     grouped = rows.groupBy(*keys, "_row").agg(F.sort_array(F.collect_list(term)).getField("term").alias("terms"))
     return grouped.drop("_row")
