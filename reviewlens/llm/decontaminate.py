@@ -3,11 +3,14 @@
 The distinct windows of the benchmark are a hash set keyed by their first words.
 Every position of every document is looked up in it, a hit is verified word by
 word, and the hit positions of a document are merged into spans. All of it is
-built-in expressions: one pass over the texts and one exchange of the hits.
+built-in expressions: one exchange of the hits, and one pass over the texts for each part
+of the set that is small enough to broadcast.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 ANCHOR = 3
 BROADCAST_BYTES = 64 << 20
-"""The window set is broadcast up to this size, and joined by exchange beyond it."""
+"""The window set is broadcast in parts of this size; the texts are read once for each."""
 
 
 def normal_words(text: Column) -> Column:
@@ -74,9 +77,10 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
             for length in lengths
         )
     )
-    keyed = windows.select(anchor.alias("anchor"), "window", "item_ids")
-    keyed = F.broadcast(keyed) if size <= BROADCAST_BYTES else keyed
-
+    parts = max(1, -(-size // BROADCAST_BYTES))
+    keyed = windows.select(
+        anchor.alias("anchor"), "window", "item_ids", F.pmod(F.xxhash64("window"), F.lit(parts)).alias("part")
+    )
     words = docs.select(
         "doc_id",
         F.xxhash64("text").alias("text_key"),
@@ -90,10 +94,15 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     # once for each length of anchor.
     lookup = F.concat(F.array(F.lit(None).cast("bigint")), *(anchors(length) for length in lengths))
     places = words.select("doc_id", "text_key", "words", F.posexplode(lookup).alias("place", "anchor"))
-    met = places.join(keyed, "anchor", "left")
     first = F.pmod(F.col("place") - 1, F.greatest(F.size("words"), F.lit(1))).cast("int")
     here = F.slice("words", first + 1, F.size("window"))
-    met = met.where((F.col("place") == 0) | (F.col("window").isNotNull() & (here == F.col("window"))))
+    is_hit = F.col("window").isNotNull() & (here == F.col("window"))
+
+    def met_by(part: int) -> DataFrame:
+        found = places.join(F.broadcast(keyed.where(F.col("part") == part)), "anchor", "left")
+        return found.where(((F.col("place") == 0) | is_hit) if part == 0 else is_hit)
+
+    met = reduce(DataFrame.unionByName, map(met_by, range(parts)))
     span = F.when(F.col("place") > 0, F.struct(first.alias("first"), (first + F.size("window")).alias("end")))
     rows = met.select(
         "doc_id",

@@ -63,8 +63,8 @@ def test_benchmark_hits(spark, window):
     assert Counter(map(repr, map(tuple, rows))) == Counter(map(repr, want))
 
 
-def test_benchmark_hits_beyond_a_broadcast(spark, monkeypatch, plan_of):
-    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+def test_benchmark_hits_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 7_000)
     docs, items = documents_with_items(3)
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
