@@ -80,7 +80,7 @@ class BallTree:
         self.lengths = np.sqrt((self.real**2).sum(1)).max() if len(ids) else 0.0
 
     def search(self, query: np.ndarray, own: int, k: int, floor: int | None) -> list[tuple[int, int]]:
-        """The best ``(score, id)`` of rows with another id, as far as they reach ``floor``.
+        """The best ``(score, id)`` of ``k`` other ids, each with its best row, as far as they reach ``floor``.
 
         Equal scores go to the smaller id. Balls whose bound equals the k-th score are
         read, since they may hold such a tie.
@@ -91,7 +91,8 @@ class BallTree:
         length = float(np.sqrt((real**2).sum()))
         slack = 1e-9 * (1.0 + length * float(self.lengths))  # what rounding can take from a bound
         bounds = np.clip(self.centres @ real + self.radii * length + slack, -float(LONG), float(LONG))
-        best: list[tuple[int, int]] = []  # a heap of (score, -id)
+        best: list[tuple[int, int]] = []  # a heap of (score, -id), each id once
+        held: dict[int, int] = {}  # the score of each id in the heap
         queue = [(-bounds[0], 0)]
         least = floor
         while queue:
@@ -110,11 +111,19 @@ class BallTree:
             if least is not None:
                 keep &= scores >= least
             for at in np.flatnonzero(keep):
-                entry = (int(scores[at]), -int(names[at]))
-                if len(best) < k:
+                name = int(names[at])
+                entry = (int(scores[at]), -name)
+                if name in held:
+                    if entry[0] > held[name]:
+                        best[best.index((held[name], -name))] = entry
+                        heapq.heapify(best)
+                        held[name] = entry[0]
+                elif len(best) < k:
                     heapq.heappush(best, entry)
+                    held[name] = entry[0]
                 elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
+                    del held[-heapq.heapreplace(best, entry)[1]]
+                    held[name] = entry[0]
             if len(best) == k:
                 least = best[0][0] if least is None else max(least, best[0][0])
         return [(score, -name) for score, name in sorted(best, reverse=True)]

@@ -74,6 +74,14 @@ def test_tree_leaves_balls_out():
     assert tree.search(rows[7], 7, 10, want[4][0]) == [w for w in want if w[0] >= want[4][0]]
 
 
+def test_ids_with_several_vectors_take_one_place(spark):
+    rows = [(100, [1.0, 0.0])] + [(1, [9.0, float(i)]) for i in range(8)] + [(i, [float(i), 1.0]) for i in range(2, 8)]
+    tree = topk_search.BallTree(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64), 2)
+    assert tree.search(np.array([1, 0]), 100, 4, None) == [(9, 1), (7, 7), (6, 6), (5, 5)]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], VECTORS)
+    assert sorted(map(tuple, topk_search.top_k(frame, k=4).collect())) == plain_top(rows, 4)
+
+
 def test_top_k_of_nothing(spark):
     frame = spark.createDataFrame([], VECTORS)
     assert topk_search.top_k(frame).count() == 0
