@@ -35,7 +35,6 @@ from reviewlens.sources.payloads import PAGE_SIZE, parse_movies, parse_reviews
 from reviewlens.sources.sinks import record_json, write_topics
 from reviewlens.sources.texts import (
     clean_lines,
-    documents_from_rows,
     read_documents,
     read_stop_words,
     read_text_corpus,
@@ -237,9 +236,9 @@ def text_corpus(spark, sf):
 
 
 def rows_in_memory(spark, sf):
-    """The benchmark's texts, held by the caller; their number does not follow the corpus."""
-    items = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").select("text").collect()
-    return documents_from_rows(spark, [item.text for item in items])
+    """The benchmark's texts numbered from 0 by item, on Spark; none passes through the driver."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    return number_rows(items, "item_id", index="doc_id").select("doc_id", "text")
 
 
 def document_numbers(spark, sf):

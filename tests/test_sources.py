@@ -132,3 +132,17 @@ def test_review_ids_never_collide(spark, rows):
     assert rows(good.where("movie_id IS NULL"), "review_id") == [(0,)]
     pageless = spark.createDataFrame([("a", page(4)), ("a", page(4, 9))], "movie_id string, value string")
     assert sorted(r.review_id for r in parse_reviews(pageless).rows.collect()) == list(range(8))
+
+
+def test_benchmark_is_numbered_without_the_driver(spark, rows, monkeypatch, tmp_path):
+    from pyspark.sql import DataFrame
+
+    from reviewlens.checks.queries import rows_in_memory
+
+    given = [(item, f"text {item}") for item in (7, 3, 5)]
+    spark.createDataFrame(given, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    collect, sent = DataFrame.collect, []
+    monkeypatch.setattr(DataFrame, "collect", lambda df: sent.extend(df.columns) or collect(df))
+    found = rows_in_memory(spark, str(tmp_path))
+    assert "text" not in sent
+    assert rows(found) == [(0, "text 3"), (1, "text 5"), (2, "text 7")]
