@@ -10,8 +10,8 @@ from reviewlens.llm.columns import table
 from reviewlens.llm.decontaminate import decontaminate
 from reviewlens.llm.language_id import keep_identified, train
 from reviewlens.llm.mixing import mix
-from reviewlens.llm.near_copies import keep_one_of_similar
 from reviewlens.llm.sharding import shard_documents
+from reviewlens.llm.simhash import keep_one
 from reviewlens.session import shared_folder
 
 
@@ -21,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles alike by 0.8 or more."""
-    return keep_one_of_similar(docs)
+    """One document of each group of near duplicates: fingerprints of three-word shingles, two bits apart at most."""
+    return keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
