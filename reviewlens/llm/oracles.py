@@ -140,10 +140,107 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM firsts
 """
 
+RANKED_SEARCH = r"""
+WITH worded AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+),
+sized AS (SELECT r, doc_id, len(words)::BIGINT AS n, words FROM worded WHERE len(words) > 0),
+corpus AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS total FROM sized),
+asked AS (
+  SELECT DISTINCT item_id, unnest(list_sort(list_distinct(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')))) AS term
+  FROM benchmark
+),
+counted AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(words) AS term FROM sized)
+  WHERE term IN (SELECT term FROM asked) GROUP BY r, term
+),
+weighed AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), corpus
+),
+gains AS (
+  SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total))) AS gain
+  FROM counted JOIN weighed USING (term) JOIN sized USING (r), corpus
+),
+scored AS (
+  SELECT item_id, r, sum(gain)::BIGINT AS score FROM asked JOIN gains USING (term) GROUP BY item_id, r HAVING sum(gain) > 0
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored JOIN sized USING (r) QUALIFY rank <= 10
+"""
+
+PERIODIC_RUNS = r"""
+WITH RECURSIVE crc_table AS (
+  WITH RECURSIVE t(i, k, v) AS (
+    SELECT i, 0, i::BIGINT FROM range(256) r(i)
+    UNION ALL
+    SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384::BIGINT, v >> 1) ELSE v >> 1 END FROM t WHERE k < 8
+  )
+  SELECT list(v ORDER BY i) AS steps FROM t WHERE k = 8
+),
+worded AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS own FROM documents
+),
+hashed AS (
+  SELECT r, doc_id, own, len(own)::BIGINT AS n, xor(4294967295::BIGINT, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(steps[xor(c & 255, b) + 1], c >> 8))) AS h
+  FROM worded, crc_table
+),
+tails AS (
+  SELECT r, doc_id, own, n, coalesce(h % 10 = 0, false) AND n > 0 AS planted, (h // 10) % greatest(n, 1) AS a,
+    1 + (n - (h // 10) % greatest(n, 1)) // (3 + (h // 10) % 8) AS p
+  FROM hashed
+),
+texts AS (
+  SELECT r, doc_id, n, CASE WHEN planted THEN list_transform(range(0, n), lambda i:
+    CASE WHEN i < a THEN own[i + 1] ELSE own[a + (i - a) % p + 1] END) ELSE own END AS words
+  FROM tails
+),
+words AS (SELECT r, n, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM texts),
+pairs AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.r = y.r AND x.word = y.word
+  WHERE y.i > x.i AND 4 * (y.i - x.i) <= x.n
+),
+streaks AS (
+  SELECT r, min(i) AS start, count(*) + q AS length, q
+  FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs)
+  GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+),
+runs AS (SELECT r, start, length, min(q) AS period FROM streaks GROUP BY r, start, length),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN gone USING (r, i) GROUP BY r
+),
+listed AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    arg_min({'start': start, 'length': length, 'period': period}, (-length, start, period)) AS top
+  FROM runs GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.start::BIGINT AS start, top.length::BIGINT AS length,
+  top.period::BIGINT AS period, ((1000 * top.length) // top.period)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM texts LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
+"""
+
+EXACT_DEDUP = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP,
     "op3_topk_search": TOPK_SEARCH,
     "op4_jump_sharding": JUMP_SHARDING,
     "op5_warc": WARC,
     "op10_decontaminate": DECONTAMINATE,
+    "op11_ranked_search": RANKED_SEARCH,
+    "op12_periodic_runs": PERIODIC_RUNS,
+    "op13_exact_dedup": EXACT_DEDUP,
 }

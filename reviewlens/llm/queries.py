@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from reviewlens.llm.columns import table
 from reviewlens.llm.decontaminate import benchmark_hits, hit_words
+from reviewlens.llm.exact_dedup import exact_copies
 from reviewlens.llm.language_id import held_out, identify, train
 from reviewlens.llm.line_dedup import dedup_lines
 from reviewlens.llm.mixing import mixture
+from reviewlens.llm.periodic_runs import longest, periodic_runs, with_planted_tails
+from reviewlens.llm.ranked_search import ranked_search
 from reviewlens.llm.secrets import secret_spans
 from reviewlens.llm.sharding import shard_documents
 from reviewlens.llm.simhash import near_duplicates
@@ -73,6 +76,28 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_tails(table(spark, sf_dir, "documents")))
+    found = found.withColumn("top", longest(F.col("runs")))
+    lines = F.transform("runs", lambda run: F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col("top")[name].alias(name) for name in ("start", "length", "period")),
+        F.floor(F.col("top.length") * 1000 / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_copies(table(spark, sf_dir, "documents"), digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -86,5 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_language_id,
         op10_decontaminate,
+        op11_ranked_search,
+        op12_periodic_runs,
+        op13_exact_dedup,
     )
 }

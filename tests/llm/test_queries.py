@@ -29,7 +29,7 @@ def test_same_rows(spark, con, name):
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries())
     assert set(ORACLES) <= set(oracle_sql()) and "pipeline" not in oracle_sql()
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
