@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from reviewlens.checks.queries import (
     CAPPED_VOCABULARY,
+    DEEP_PAGE,
+    INDEXED_SEARCHES,
     LAST_SEEN,
     LEXICON,
     MOVIE,
@@ -231,6 +233,17 @@ ORACLES: dict[str, str] = {
     "learned_classes": f"WITH {OPINIONS} SELECT doc_id, sent_no, true AS in_range, true AS agrees FROM sentences",
     "lda_facts": """SELECT CAST(range AS INTEGER) AS topic, CAST(5 AS BIGINT) AS n_terms, '1 2 3 4 5' AS ranks,
         true AS falling, true AS known, true AS bounded FROM range(1, 6)""",
+    "learned_confusion": f"""WITH {OPINIONS}
+        SELECT score AS given, count(*) AS n, true AS balanced FROM scored WHERE doc_id % 5 = 0 GROUP BY score""",
+    "lda_default_facts": """SELECT CAST(range AS INTEGER) AS topic, CAST(5 AS BIGINT) AS n_terms, '1 2 3 4 5' AS ranks,
+        true AS looked_up, true AS bounded FROM range(1, 6)""",
+    "topic_table_facts": f"""WITH {COUNTS}
+        SELECT CAST(range AS INTEGER) AS topic, CAST(5 AS BIGINT) AS n_terms, true AS looked_up,
+            (SELECT count(*) FROM counts) AS n_weights, true AS whole FROM range(1, 6)""",
+    "topic_quality": f"""WITH {_tokens()},
+        known AS (SELECT DISTINCT term FROM tokens WHERE doc_id % 5 <> 0)
+        SELECT way, count(DISTINCT doc_id) AS n_documents, true AS beats_words, true AS same_again
+        FROM tokens JOIN known USING (term), (VALUES ('em'), ('table')) ways(way) WHERE doc_id % 5 = 0 GROUP BY way""",
     "opinions_strict": f"WITH {STRICT} SELECT doc_id, chain_key, topic, score, sentence FROM opinions",
     "opinions_nested_json": f"""WITH {OPINIONS},
         per_topic AS (SELECT doc_id, topic,
@@ -256,6 +269,17 @@ ORACLES: dict[str, str] = {
             FROM ({_found(query)} {NEWEST} LIMIT {PAGE_SIZE}))"""
         for query in SEARCHES
     ),
+    "indexed_searches": " UNION ALL ".join(
+        f"SELECT * FROM (WITH {MOVIES} SELECT *, '{query}' AS query FROM ({_found(query)}))" for query in INDEXED_SEARCHES
+    ),
+    "written_page": f"""WITH {MOVIES}
+        SELECT * FROM movies {NEWEST} LIMIT {PAGE_SIZE} OFFSET {(DEEP_PAGE - 1) * PAGE_SIZE}""",
+    "page_in_memory": f"""WITH {MOVIES},
+        shown AS (SELECT title, row_number() OVER ({NEWEST}) - 1 AS doc_id FROM movies),
+        words AS (SELECT doc_id, unnest(ws) AS term, generate_subscripts(ws, 1) - 1 AS pos
+                  FROM (SELECT doc_id, regexp_extract_all(lower(title), '{WORD}') AS ws FROM shown
+                        WHERE doc_id < {PAGE_SIZE}))
+        SELECT doc_id, CAST(pos AS INTEGER) AS pos, term FROM words WHERE length(term) > 1 AND term NOT IN {STOP}""",
     "deep_page": _page_after(*LAST_SEEN),
     "last_page": _page_after(*NEAR_THE_END),
     "blank_search": f"WITH {MOVIES} SELECT movie_id, year, title, {SHOWN} FROM movies WHERE false",
@@ -284,6 +308,10 @@ ORACLES: dict[str, str] = {
     "movie_reviews_join": f"""WITH {MOVIES}, {REVIEWS}
         SELECT movie_id, review_id, critic, quote, review_type, country, year, title, {SHOWN}
         FROM reviews JOIN movies USING (movie_id)""",
+    "bucketed_join": f"""WITH {MOVIES}, {REVIEWS}
+        SELECT movie_id, review_id, critic, quote, review_type, country, year, title, synopsis
+        FROM reviews JOIN movies USING (movie_id)""",
+    "bucketed_counts": f"WITH {REVIEWS} SELECT movie_id, count(*) AS n_reviews FROM reviews GROUP BY movie_id",
     "append_reviews": f"WITH {REVIEWS} SELECT * FROM reviews",
     "movies_json_roundtrip": f"""WITH {MOVIES}
         SELECT CAST(floor(movie_id / {PAGE_SIZE}) AS BIGINT) AS page,

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlens.functions.catalog import synopsis_or_default
@@ -26,15 +27,19 @@ from reviewlens.operators.mentions import (
     mentions,
     mentions_by_length,
 )
+from reviewlens.operators.pages import write_pages
 from reviewlens.operators.ranking import number_rows, page
 from reviewlens.operators.sentences import sentence_scores, sentences
+from reviewlens.operators.title_index import write_title_index
 from reviewlens.operators.tokens import tokens
-from reviewlens.plans import learned, opinions, search, topics
-from reviewlens.session import shared_folder
+from reviewlens.plans import learned, opinions, search, topic_table, topics
+from reviewlens.session import shared_folder, stored
+from reviewlens.sources.buckets import write_review_buckets
 from reviewlens.sources.payloads import PAGE_SIZE, parse_movies, parse_reviews
 from reviewlens.sources.sinks import record_json, write_topics
 from reviewlens.sources.texts import (
     clean_lines,
+    documents_from_rows,
     read_documents,
     read_stop_words,
     read_text_corpus,
@@ -59,7 +64,12 @@ SEARCHES = ["Red wid", " \t", "blue", "no such title"]
 LAST_SEEN, NEAR_THE_END = (1975, 300), (1951, 0)
 TRAINING_SENTENCES = 20_000
 AGREEMENT = 0.8
+SENTENCES_PER_CLASS = 4_000
+BALANCED_ACCURACY = 0.45
+QUALITY_PASSES, QUALITY_STEPS = 10, 6
 STREAM_FILES = 4
+INDEXED_SEARCHES = ["Red wid", "b", "BLUE red", "dget", "ed", "xyzzy red", " "]
+DEEP_PAGE = 3
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -241,6 +251,12 @@ def rows_in_memory(spark, sf):
     return number_rows(items, "item_id", index="doc_id").select("doc_id", "text")
 
 
+def page_in_memory(spark, sf):
+    """The titles of a page of movies, held by the caller, as documents again: the words of each."""
+    shown = page(_movies(spark, sf), *catalog.newest_first(), size=PAGE_SIZE).collect()
+    return tokens(documents_from_rows(spark, [movie.title for movie in shown]))
+
+
 def document_numbers(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet").select("source", "doc_id")
     return number_rows(table, "source", "doc_id")
@@ -356,6 +372,25 @@ def learned_classes(spark, sf):
     return both.select("doc_id", "sent_no", in_range, F.lit(share >= AGREEMENT).alias("agrees"))
 
 
+def _held_out():
+    """Which documents a model is judged on: it learns from the others."""
+    return F.col("doc_id") % 5 == 0
+
+
+def learned_confusion(spark, sf):
+    """Five classes learned with equal weight and judged on documents held out of it: for each
+    class its sentences there, and whether the mean recall is above a bound that a constant
+    answer, which has a fifth, cannot reach. At most ``SENTENCES_PER_CLASS`` of each class
+    are learned from, by a seeded hash; all held-out sentences are classed."""
+    scored = sentence_scores(sentences(_corpus(spark, sf)), LEXICON)
+    some = learned.stratified(scored.where(~_held_out()), SENTENCES_PER_CLASS)
+    model = learned.fit_scorer(some, features=1 << 16, max_iter=60, reg=1e-4, balanced=True)
+    given = scored.where(_held_out()).withColumnRenamed("score", "given")
+    matrix = stored(learned.confusion(learned.learned_scores(model, given)))
+    reached = learned.balanced_accuracy(matrix) >= BALANCED_ACCURACY
+    return learned.recalls(matrix).select("given", "n", F.lit(reached).alias("balanced"))
+
+
 def learned_scores(spark, sf):
     docs = _corpus(spark, sf)
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("score"))
@@ -387,6 +422,75 @@ def lda_facts(spark, sf):
     return found.select("topic", "n_terms", "ranks", falling.alias("falling"), "known", "bounded")
 
 
+def lda_default_facts(spark, sf):
+    """What must hold of a fit with the default settings, each term looked up again: does the
+    index that the vocabulary gives it, counted afresh, stand at its rank in the model?"""
+    docs = _corpus(spark, sf)
+    model = topics.discover_topics(docs)
+    described = model.model.describeTopics(topics.TERMS_PER_TOPIC)
+    fresh = terms.vocabulary(terms.term_counts(tokens(docs)))
+    found = model.topics().join(fresh.select("term", "term_index"), "term")
+    found = found.join(F.broadcast(described.withColumn("topic", F.col("topic") + 1)), "topic")
+    at = F.col("rank") - 1
+    same = (F.get("termIndices", at) == F.col("term_index")) & (F.get("termWeights", at) == F.col("weight"))
+    return found.groupBy("topic").agg(
+        F.count("term").alias("n_terms"),
+        F.array_join(F.sort_array(F.collect_list("rank")), " ").alias("ranks"),
+        F.every(F.coalesce(same, F.lit(False))).alias("looked_up"),
+        F.sum("weight").between(0, 1).alias("bounded"),
+    )
+
+
+def topic_table_facts(spark, sf):
+    """The same of topics held as a table, whose weights are of all terms: is each term, by the
+    index of a fresh count, one that only so many others of the topic exceed as its rank says?"""
+    docs = _corpus(spark, sf)
+    table = topic_table.discover_topic_table(docs, steps=QUALITY_STEPS)
+    fresh = terms.vocabulary(terms.term_counts(tokens(docs)))
+    each = table.probabilities().select("term_index", F.posexplode("probs").alias("topic", "prob"))
+    each = each.select(F.col("topic") + 1, "term_index", "prob").toDF("topic", "term_index", "prob")
+    found = stored(table.topics().join(fresh.select("term", "term_index"), "term"))
+    least = found.groupBy("topic").agg(F.min("weight").alias("least"))
+    above = each.join(F.broadcast(least), "topic").where("prob >= least")
+    rank = F.rank().over(Window.partitionBy("topic").orderBy(F.desc("prob"), "term_index"))
+    above = above.select("topic", "term_index", rank.alias("rank"), "prob")
+    met = found.join(above, ["topic", "term_index", "rank"], "left")
+    summed = each.groupBy("topic").agg(F.count(F.lit(1)).alias("n_weights"), F.sum("prob").alias("whole"))
+    facts = met.groupBy("topic").agg(
+        F.count("term").alias("n_terms"), F.every(F.coalesce(F.col("prob") == F.col("weight"), F.lit(False))).alias("looked_up")
+    )
+    whole = F.abs(F.col("whole") - 1) < 1e-4
+    return facts.join(summed, "topic").select("topic", "n_terms", "looked_up", "n_weights", whole.alias("whole"))
+
+
+def topic_quality(spark, sf):
+    """Do topics foretell documents that they were not fitted on better than the counts of words
+    do, and does the same seed give the same topics? By both ways to fit them; ``n_documents``
+    are the held-out documents with a word that the others have."""
+    docs = _corpus(spark, sf)
+    fitted_on, judged_on = docs.where(~_held_out()), docs.where(_held_out())
+    rows = []
+    for way in ("em", "table"):
+
+        def fit():
+            if way == "em":
+                model = topics.discover_topics(fitted_on, max_iter=QUALITY_PASSES)
+                return model, topic_table.model_probabilities(model)
+            model = topic_table.discover_topic_table(fitted_on, steps=QUALITY_STEPS)
+            return model, model.probabilities()
+
+        (model, probabilities), (again, _) = fit(), fit()
+        bags = stored(terms.bag_of_words(count_document_terms(judged_on), model.vocabulary))
+        scores = topic_table.held_out_scores(bags, probabilities, model.vocabulary)
+        of_topics, of_words = topic_table.perplexities(scores)
+        first, second = (
+            sorted(tuple(r) for r in m.topics().select("topic", "rank", "term").collect()) for m in (model, again)
+        )
+        n_documents = bags.select("doc_id").distinct().count()
+        rows.append((way, n_documents, of_topics < of_words, first == second))
+    return spark.createDataFrame(rows, "way string, n_documents bigint, beats_words boolean, same_again boolean")
+
+
 def stream_opinions(spark, sf):
     """Conversations land in several files, one to a batch."""
     run = _folder(spark, "stream-opinions")
@@ -410,6 +514,18 @@ def title_matches(spark, sf):
     return catalog.title_search(_movies(spark, sf), SEARCH)
 
 
+def indexed_searches(spark, sf):
+    """Several searches by an index of grams that is written first."""
+    index = write_title_index(_movies(spark, sf), _folder(spark, "titles"))
+    found = [index.search(query).withColumn("query", F.lit(query)) for query in INDEXED_SEARCHES]
+    return reduce(DataFrame.unionByName, found)
+
+
+def written_page(spark, sf):
+    """A page of all movies from a list that is written first, without the pages before it."""
+    return write_pages(_movies(spark, sf), _folder(spark, "pages"), *catalog.newest_first()).page(DEEP_PAGE, PAGE_SIZE)
+
+
 def second_page(spark, sf):
     return search.search_movies(_movies(spark, sf), SEARCH.split()[0], number=2)
 
@@ -464,6 +580,19 @@ def movie_reviews_join(spark, sf):
     return catalog.join_reviews(movies, _reviews(spark, sf))
 
 
+def _buckets(spark, sf):
+    folder = _folder(spark, "buckets")
+    return write_review_buckets(_movies(spark, sf), _reviews(spark, sf), f"t{uuid.uuid4().hex}", folder)
+
+
+def bucketed_join(spark, sf):
+    return _buckets(spark, sf).joined()
+
+
+def bucketed_counts(spark, sf):
+    return _buckets(spark, sf).counts()
+
+
 def append_reviews(spark, sf):
     reviews = _reviews(spark, sf)
     by_user = F.coalesce(F.col("critic") == "user", F.lit(False))
@@ -533,6 +662,7 @@ QUERIES: dict[str, Query] = {
     "stop_words_file": stop_words_file,
     "text_corpus": text_corpus,
     "rows_in_memory": rows_in_memory,
+    "page_in_memory": page_in_memory,
     "document_numbers": document_numbers,
     "sentences": all_sentences,
     "sentence_scores": scored_sentences,
@@ -554,11 +684,17 @@ QUERIES: dict[str, Query] = {
     "opinions_nested_json": opinions_nested_json,
     "learned_scores": learned_scores,
     "learned_classes": learned_classes,
+    "learned_confusion": learned_confusion,
     "lda_topics": lda_topics,
     "lda_facts": lda_facts,
+    "lda_default_facts": lda_default_facts,
+    "topic_table_facts": topic_table_facts,
+    "topic_quality": topic_quality,
     "stream_opinions": stream_opinions,
     "title_search": title_search,
     "title_matches": title_matches,
+    "indexed_searches": indexed_searches,
+    "written_page": written_page,
     "second_page": second_page,
     "blank_search": blank_search,
     "several_searches": several_searches,
@@ -572,6 +708,8 @@ QUERIES: dict[str, Query] = {
     "first_page_of_reviews": first_page_of_reviews,
     "review_counts": review_counts,
     "movie_reviews_join": movie_reviews_join,
+    "bucketed_join": bucketed_join,
+    "bucketed_counts": bucketed_counts,
     "append_reviews": append_reviews,
     "movies_json_roundtrip": movies_json_roundtrip,
     "movies_json_with_faults": movies_json_with_faults,

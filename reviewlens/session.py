@@ -57,7 +57,7 @@ _WRITTEN: dict[str, list[str]] = {}
 """Paths of the tables of each application."""
 
 
-def written_table(df) -> str:
+def written_table(df, *partition_by: str) -> str:
     """``df`` as a new Parquet table in the checkpoint folder; returns its path.
 
     :func:`release` removes the tables once what reads them is done.
@@ -65,7 +65,8 @@ def written_table(df) -> str:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
     return path
 
 
@@ -74,23 +75,56 @@ def stored(df):
     return df.sparkSession.read.schema(df.schema).parquet(written_table(df))
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, whichever it is, and the path as it takes it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = file_system(spark, path)
+    files.delete(place, True)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove one table of :func:`written_table`, once nothing reads it any more."""
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    if path in paths:
+        paths.remove(path)
+    remove(spark, path)
+
+
 def release(spark: SparkSession) -> int:
     """Remove the tables this application wrote with :func:`written_table`; how many they were."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
-    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(settings).delete(place, True)
+        remove(spark, path)
     return len(paths)
 
 
+def _checkpoints(spark: SparkSession) -> set[str]:
+    """The folders of checkpoints that are there."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        return set()
+    files, place = file_system(spark, folder)
+    return {str(status.getPath()) for status in files.listStatus(place)} if files.exists(place) else set()
+
+
 @contextmanager
 def scratch_tables(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside are removed at the end; write or collect what reads them before."""
+    """Tables and checkpoints written inside are removed at the end.
+
+    Write or collect what reads them before, and let nothing else of the application
+    checkpoint meanwhile: its checkpoints would go as well.
+    """
     app = spark.sparkContext.applicationId
-    outer = _WRITTEN.pop(app, [])
+    shared_folder(spark)
+    outer, before = _WRITTEN.pop(app, []), _checkpoints(spark)
     try:
         yield
     finally:
         release(spark)
         _WRITTEN[app] = outer
+        for path in _checkpoints(spark) - before:
+            remove(spark, path)

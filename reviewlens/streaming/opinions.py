@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from reviewlens.operators.sentences import Lexicon
 from reviewlens.operators.tokens import Terms
 from reviewlens.plans.opinions import Scorer, review_opinions, review_records
+from reviewlens.session import file_system
 from reviewlens.wordlists import ENGLISH_STOP_WORDS, PRONOUNS
 
 
@@ -29,6 +30,23 @@ def read_review_stream(
     return reader.format(format).load(path)
 
 
+def _manifest(sink: str) -> str:
+    """The folder with a file for each batch that is whole; Spark passes over such names."""
+    return f"{sink}/_committed"
+
+
+def committed(spark: SparkSession, sink: str) -> list[int]:
+    """The batches whose rows are all there, in order."""
+    files, place = file_system(spark, _manifest(sink))
+    names = [status.getPath().getName() for status in files.listStatus(place)] if files.exists(place) else []
+    return sorted(int(name) for name in names if name.isdigit())
+
+
+def _commit(spark: SparkSession, sink: str, batch_id: int) -> None:
+    files, place = file_system(spark, f"{_manifest(sink)}/{batch_id}")
+    files.create(place, True).close()
+
+
 def start_opinions(
     reviews: DataFrame,
     sink: str,
@@ -45,13 +63,17 @@ def start_opinions(
     """Score arriving reviews (keys, ``text``) and append their opinions to ``sink``.
 
     A review is one row, so each batch is analysed on its own and no state is
-    kept. A batch writes its own folder and overwrites it when replayed, so a
-    restart repeats nothing. ``until_empty`` ends after what has landed;
-    otherwise the query keeps waiting for more.
+    kept. A batch writes its own folder and is then entered in a manifest of whole batches.
+    One that broke off is overwritten when it is replayed, one that is in the manifest is
+    left alone, so a restart repeats nothing and readers see whole batches only.
+    ``until_empty`` ends after what has landed; otherwise the query keeps waiting for more.
     """
     analyse = review_records if nested else review_opinions
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        files, entry = file_system(batch.sparkSession, f"{_manifest(sink)}/{batch_id}")
+        if files.exists(entry):
+            return
         found = analyse(
             batch, lexicon, stopwords, pronouns=pronouns, scorer=scorer, keys=keys
         )
@@ -59,6 +81,7 @@ def start_opinions(
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{sink}/batch_id={batch_id}")
+        _commit(batch.sparkSession, sink, batch_id)
 
     stream = reviews.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     if until_empty:
@@ -92,15 +115,15 @@ def opinion_schema(
 
 
 def read_opinions(spark: SparkSession, sink: str, schema: StructType | None = None) -> DataFrame:
-    """All opinions appended so far, with the ``batch_id`` that brought them.
+    """All opinions of whole batches so far, with the ``batch_id`` that brought them.
 
-    Filter it by the key of one movie to start over for that movie. A stream that has
-    brought nothing yet has no folder to read: it is an empty frame of ``schema``, by
+    Only the folders of batches in the manifest are read: what a batch leaves behind that
+    broke off is not seen. Filter the result by the key of one movie to start over for that
+    movie. A stream that has brought nothing yet is an empty frame of ``schema``, by
     default that of flat opinions by ``doc_id``.
     """
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(place):
+    batches = committed(spark, sink)
+    if not batches:
         return spark.createDataFrame([], schema or opinion_schema())
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(sink)
+    return reader.option("basePath", sink).parquet(*(f"{sink}/batch_id={batch_id}" for batch_id in batches))
