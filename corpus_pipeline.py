@@ -12,7 +12,7 @@ from reviewlens.llm.language_id import keep_identified, train
 from reviewlens.llm.mixing import mix
 from reviewlens.llm.sharding import shard_documents
 from reviewlens.llm.simhash import keep_one
-from reviewlens.session import shared_folder
+from reviewlens.session import scratch_tables, shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    What a stage wrote on its way is removed once its result is there.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
