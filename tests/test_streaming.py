@@ -91,3 +91,48 @@ def test_the_schema_is_what_is_written(spark, tmp_path, nested):
     run(spark, tmp_path, nested=nested)
     written = read_opinions(spark, str(tmp_path / "out"))
     assert dict(written.dtypes) == {f.name: f.dataType.simpleString() for f in opinion_schema(KEYS, nested)}
+
+
+def test_half_written_batches_are_not_read(spark, tmp_path, monkeypatch):
+    """A batch that breaks off between its files and the manifest is unseen, and is replayed whole."""
+    from reviewlens.streaming import opinions as module
+
+    landed, out = tmp_path / "landed", str(tmp_path / "out")
+    landed.mkdir()
+    schema = "doc_id bigint, text string"
+    (landed / "a.json").write_text('{"doc_id": 1, "text": "Ann Bell sings. She is good."}\n')
+
+    def run():
+        reviews = read_review_stream(spark, str(landed), schema, "json")
+        finish(start_opinions(reviews, out, str(tmp_path / "progress"), {"good": 1}))
+
+    run()
+    first = sorted(map(tuple, read_opinions(spark, out).collect()))
+    assert first and module.committed(spark, out) == [0]
+    (landed / "b.json").write_text('{"doc_id": 2, "text": "Cy Dunn acts. He is good."}\n')
+    commit = module._commit
+
+    def broken(*_):
+        raise OSError("killed")
+
+    monkeypatch.setattr(module, "_commit", broken)
+    with pytest.raises(Exception):
+        run()
+    assert (tmp_path / "out" / "batch_id=1").is_dir()
+    assert sorted(map(tuple, read_opinions(spark, out).collect())) == first
+    monkeypatch.setattr(module, "_commit", commit)
+    run()
+    found = read_opinions(spark, out)
+    assert {r.batch_id for r in found.collect()} == {0, 1} and found.where("batch_id = 0").count() == len(first)
+
+
+def test_a_whole_batch_is_not_written_again(spark, tmp_path):
+    from reviewlens.streaming import opinions as module
+
+    out = str(tmp_path / "out")
+    module._commit(spark, out, 0)
+    landed = tmp_path / "landed"
+    landed.mkdir()
+    (landed / "a.json").write_text('{"doc_id": 1, "text": "Ann Bell sings."}\n')
+    finish(start_opinions(read_review_stream(spark, str(landed), "doc_id bigint, text string"), out, str(tmp_path / "p"), {}))
+    assert not (tmp_path / "out" / "batch_id=0").exists()

@@ -1,0 +1,140 @@
+"""Topics as a table, their quality on held-out documents, and the balanced scorer."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from reviewlens.operators.local_terms import count_document_terms
+from reviewlens.operators.terms import bag_of_words
+from reviewlens.plans import learned, topic_table
+from reviewlens.plans.topics import discover_topics
+
+WORDS = ["velm dorrit hask", "quill tamper brone", "velm hask hask dorrit", "tamper brone osken quill"]
+
+
+def test_digamma():
+    found = topic_table._digamma(np.array([1.0, 0.5, 2.0, 10.0, 0.01]))
+    gamma = 0.5772156649015329
+    want = [-gamma, -gamma - 2 * math.log(2), 1 - gamma, sum(1 / i for i in range(1, 10)) - gamma, -100.56088545786867]
+    assert np.allclose(found, want, atol=1e-9)
+
+
+def plain_shares(values, weights, alpha):
+    """One document by the textbook."""
+    k = len(weights[0])
+    found = [sum(values) / k + alpha] * k
+    for _ in range(topic_table.ROUNDS):
+        whole = topic_table._digamma(np.array([sum(found)]))[0]
+        share = [math.exp(topic_table._digamma(np.array([g]))[0] - whole) for g in found]
+        after = [alpha] * k
+        for value, row in zip(values, weights, strict=True):
+            norm = sum(s * w for s, w in zip(share, row, strict=True))
+            after = [a + value * s * w / norm for a, s, w in zip(after, share, row, strict=True)]
+        moved = sum(abs(a - b) for a, b in zip(after, found, strict=True)) / k
+        found = after
+        if moved <= topic_table.TOLERANCE:
+            break
+    return found
+
+
+def test_shares_of_each_document_are_its_own():
+    draw = np.random.default_rng(1)
+    sizes = [1, 7, 3, 40]
+    starts = np.cumsum(sizes) - sizes
+    values, weights = draw.integers(1, 5, sum(sizes)).astype(float), draw.random((sum(sizes), 3)) + 0.01
+    found = topic_table.shares(values, weights, starts, 0.3)
+    for at, (start, size) in enumerate(zip(starts, sizes, strict=True)):
+        some = slice(start, start + size)
+        assert np.allclose(found[at], plain_shares(values[some].tolist(), weights[some].tolist(), 0.3))
+
+
+@pytest.mark.parametrize("head, batch_documents", [(1_000_000, 100_000), (4, 5)])
+def test_topic_table(texts, monkeypatch, head, batch_documents):
+    """Two subjects of words that never meet: each topic holds the words of one."""
+    monkeypatch.setattr(topic_table, "HEAD_NUMBERS", head)
+    docs = texts(*WORDS * 5, "", None)
+    table = topic_table.discover_topic_table(docs, k=2, steps=12, batch_documents=batch_documents)
+    found = table.topics(3).collect()
+    by_topic = {t: {r.term for r in found if r.topic == t} for t in (1, 2)}
+    assert sorted(map(sorted, by_topic.values())) == [["brone", "quill", "tamper"], ["dorrit", "hask", "velm"]]
+    whole = table.probabilities().select(F.sum(F.col("probs")[0]), F.sum(F.col("probs")[1])).first()
+    assert np.allclose(whole, 1)
+    again = topic_table.discover_topic_table(docs, k=2, steps=12, batch_documents=batch_documents)
+    assert sorted(map(tuple, again.topics(3).collect())) == sorted(map(tuple, found))
+
+
+def test_topic_table_leaves_one_table_of_weights(spark, texts):
+    from reviewlens import session
+
+    session.release(spark)
+    docs = texts(*WORDS)
+    bags = bag_of_words(count_document_terms(docs), discover_topics(docs, max_iter=1, k=2).vocabulary)
+    before = len(session._WRITTEN[spark.sparkContext.applicationId])
+    topic_table.fit_topic_table(bags, 7, k=2, steps=3)
+    assert len(session._WRITTEN[spark.sparkContext.applicationId]) == before + 1
+    session.release(spark)
+
+
+def test_topic_table_of_nothing(texts):
+    table = topic_table.discover_topic_table(texts(None, "", "the"), k=2, steps=2)
+    assert table.topics().count() == 0 and table.weights.count() == 0
+
+
+def test_held_out_scores(texts):
+    """The scores of two documents by hand, and a topic model against the counts of words."""
+    docs = texts(*WORDS * 6)
+    model = discover_topics(docs, k=2, max_iter=20)
+    probabilities = topic_table.model_probabilities(model)
+    bags = bag_of_words(count_document_terms(docs), model.vocabulary)
+    scores = topic_table.held_out_scores(bags, probabilities, model.vocabulary, k=2)
+    of_topics, of_words = topic_table.perplexities(scores)
+    assert of_topics < of_words
+    probs = {r.term_index: r.probs for r in probabilities.collect()}
+    counts = {r.term_index: r.n for r in model.vocabulary.collect()}
+    total = sum(counts.values())
+    halves = bags.withColumn("scored", F.pmod(F.xxhash64("doc_id", "term_index"), F.lit(2)) == 1).collect()
+    for row in scores.collect():
+        own = [r for r in halves if r.doc_id == row.doc_id]
+        share = [0.5 + sum(r.value for r in own if not r.scored) / 2] * 2
+        values = np.array([0.0 if r.scored else r.value for r in own])
+        share = topic_table.shares(values, np.array([probs[r.term_index] for r in own]), np.array([0]), 0.5, bayes=False)[0]
+        share = share / share.sum()
+        likely = alone = 0.0
+        for r in own:
+            if r.scored:
+                word = counts[r.term_index] / total
+                mixed = 0.99 * float(np.dot(share, probs[r.term_index])) + 0.01 * word
+                likely, alone = likely + r.value * math.log(mixed), alone + r.value * math.log(word)
+        assert row.n_scored == sum(r.value for r in own if r.scored)
+        assert math.isclose(row.log_topics, likely, rel_tol=1e-6) and math.isclose(row.log_unigram, alone, rel_tol=1e-9)
+
+
+def labelled(spark, common=400, rare=12):
+    rows = [(f"plain words here {i}", 2) for i in range(common)] + [(f"awful thing {i}", 0) for i in range(rare)]
+    return spark.createDataFrame(rows + [(f"superb thing {i}", 4) for i in range(rare)] + [(None, 1), ("x", None)], "sentence string, score int")
+
+
+def test_stratified_draws(spark):
+    frame = labelled(spark)
+    drawn = learned.stratified(frame, 20)
+    found = dict(map(tuple, drawn.groupBy("score").count().collect()))
+    assert found == {0: 12, 1: 1, 2: 20, 4: 12} and drawn.columns == frame.columns
+    assert sorted(map(tuple, drawn.collect()), key=repr) == sorted(map(tuple, learned.stratified(frame.repartition(3), 20).collect()), key=repr)
+
+
+def test_class_weights_are_even(spark):
+    frame = labelled(spark).where("score <> 1")
+    sums = frame.select("score", learned.class_weights(frame).alias("w")).groupBy("score").agg(F.sum("w")).collect()
+    assert len({round(r[1], 6) for r in sums}) == 1
+
+
+def test_a_balanced_scorer_keeps_rare_classes(spark):
+    frame = labelled(spark).where("score <> 1")
+    model = learned.fit_scorer(frame, features=1 << 10, balanced=True)
+    matrix = learned.confusion(learned.learned_scores(model, frame.withColumnRenamed("score", "given")))
+    assert learned.balanced_accuracy(matrix) > 0.95
+    constant = spark.createDataFrame([(0, 2, 12), (2, 2, 400), (4, 2, 12)], "given int, score int, n int")
+    assert math.isclose(learned.balanced_accuracy(constant), 1 / 3)
+    assert learned.balanced_accuracy(constant.limit(0)) == 0.0
