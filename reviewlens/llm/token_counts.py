@@ -5,7 +5,8 @@ Two chunks are spliced where both have a token boundary at the same character, a
 the tokens around it, and the text proves the place stable: white space stands before
 it. The tokenizer drops white space, no word it forms and no special string holds any,
 and its normal form joins no characters across it, so what follows such a place is
-encoded alike whatever came before. If the overlap holds no such place it is doubled.
+encoded alike whatever came before. An overlap reaches back to such a place; where the
+chunks do not agree there it is doubled.
 """
 
 from __future__ import annotations
@@ -66,29 +67,43 @@ def splice(text: str, left: list[Token], right: list[Token], begin: int, end: in
 def encode_huge(text: str, encode: Encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[Token]:
     """The tokens of a text, encoded chunk by chunk.
 
-    At any time two chunks are held. A text without any stable place ends up in a single
-    chunk, which is what an exact count of it needs.
+    At any time two chunks are held. A chunk is made long enough beforehand to hold a
+    stable place, so a text without any is encoded once, as a single chunk, which is what
+    an exact count of it needs.
     """
 
     def encoded(begin: int, end: int) -> list[Token]:
         return [(begin + a, begin + b, token) for a, b, token in encode(text[begin:end])]
 
-    begin, end = 0, min(chunk, len(text))
+    def last_stable(begin: int, end: int) -> int:
+        """The last place inside a chunk that white space stands before; 0 if there is none."""
+        return 1 + max(text.rfind(blank, begin, end - 1) for blank in STABLE)
+
+    def reach(begin: int, end: int) -> int:
+        """Where a chunk ends that is to end there, or later so that it holds a stable place."""
+        end = min(end, len(text))
+        while end < len(text) and not last_stable(begin, end):
+            end = min(begin + 2 * (end - begin), len(text))
+        return end
+
+    begin, end = 0, reach(0, chunk)
     held = encoded(begin, end)
     taken = 0
     while end < len(text):
-        width = overlap
+        place = last_stable(begin, end)
+        width = max(overlap, end - place + 1)
         while True:
             start = max(begin, end - width)
-            if start == begin:  # the overlap is the whole chunk: make one chunk of both
-                end = min(end + chunk, len(text))
+            if start == begin:  # the overlap is the whole chunk: make a longer chunk of both
+                end = reach(begin, begin + 2 * (end - begin))
                 held = encoded(begin, end)
                 break
-            following = encoded(start, min(start + chunk + width, len(text)))
+            upto = reach(place, start + chunk + width)
+            following = encoded(start, upto)
             at = splice(text, held, following, start, end)
             if at is not None:
                 yield from (t for t in held if taken <= t[0] < at)
-                taken, begin, end = at, at, min(start + chunk + width, len(text))
+                taken, begin, end = at, at, upto
                 held = [t for t in following if t[0] >= at]
                 break
             width *= 2
