@@ -22,6 +22,9 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 WINDOW = 10
 ANCHOR = 3
+BLOCK = 64
+"""Words are looked up in blocks of so many, each with the words that a window may add."""
+
 BROADCAST_BYTES = 64 << 20
 """The window set is broadcast in parts of this size; the texts are read once for each."""
 
@@ -84,32 +87,44 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     words = docs.select(
         "doc_id",
         F.xxhash64("text").alias("text_key"),
-        normal_words(F.col("text")).alias("words"),
+        normal_words(F.col("text")).alias("all_words"),
+    )
+    # A row of the look-up carries a block, never a text, so work is linear in a text.
+    firsts = F.sequence(F.lit(0), F.greatest(F.size("all_words") - 1, F.lit(0)), F.lit(BLOCK))
+    blocks = F.transform(
+        firsts, lambda at: F.struct(at.alias("start"), F.slice("all_words", at + 1, BLOCK + window - 1).alias("words"))
     )
+    words = words.select("doc_id", "text_key", F.size("all_words").alias("n"), F.inline(blocks))
 
     def anchors(length: int) -> Column:
-        return F.transform("words", lambda word, at: _anchor(F.col("words"), word, at, length))
+        def entry(word: Column, at: Column) -> Column:
+            return F.struct(at.alias("at"), _anchor(F.col("words"), word, at, length).alias("anchor"))
+
+        return F.transform(F.slice("words", 1, BLOCK), entry)
 
-    # The first element stands for the document itself, then come its positions,
+    # The element without a place stands for the document itself, then come its positions,
     # once for each length of anchor.
-    lookup = F.concat(F.array(F.lit(None).cast("bigint")), *(anchors(length) for length in lengths))
-    places = words.select("doc_id", "text_key", "words", F.posexplode(lookup).alias("place", "anchor"))
-    first = F.pmod(F.col("place") - 1, F.greatest(F.size("words"), F.lit(1))).cast("int")
-    here = F.slice("words", first + 1, F.size("window"))
-    is_hit = F.col("window").isNotNull() & (here == F.col("window"))
+    itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("bigint").alias("anchor")))
+    none = F.filter(itself, lambda _: F.lit(False))
+    lookup = F.concat(F.when(F.col("start") == 0, itself).otherwise(none), *(anchors(length) for length in lengths))
+    places = words.select("doc_id", "text_key", "n", "start", "words", F.inline(lookup))
+    is_document = F.col("at") < 0
+    first = (F.col("start") + F.col("at")).cast("int")
+    here = F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.size("window"))
+    is_hit = ~is_document & F.col("window").isNotNull() & (here == F.col("window"))
 
     def met_by(part: int) -> DataFrame:
         found = places.join(F.broadcast(keyed.where(F.col("part") == part)), "anchor", "left")
-        return found.where(((F.col("place") == 0) | is_hit) if part == 0 else is_hit)
+        return found.where((is_document | is_hit) if part == 0 else is_hit)
 
     met = reduce(DataFrame.unionByName, map(met_by, range(parts)))
-    span = F.when(F.col("place") > 0, F.struct(first.alias("first"), (first + F.size("window")).alias("end")))
+    span = F.when(~is_document, F.struct(first.alias("first"), (first + F.size("window")).alias("end")))
     rows = met.select(
         "doc_id",
         "text_key",
-        F.when(F.col("place") == 0, F.size("words")).cast("long").alias("n_words"),
+        F.when(is_document, F.col("n")).cast("long").alias("n_words"),
         span.alias("span"),
-        F.when(F.col("place") > 0, F.col("item_ids")).alias("item_ids"),
+        F.when(~is_document, F.col("item_ids")).alias("item_ids"),
     )
     grouped = rows.groupBy("doc_id", "text_key").agg(
         F.count("n_words").cast("int").alias("copies"),
