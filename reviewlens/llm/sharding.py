@@ -8,6 +8,7 @@ and only the share that the new shard needs moves. Everything is a column expres
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,12 @@ SLOT_ROWS = 2_000
 SLOT_RANGES = 256
 """Slots are numbered within ranges of ids: so many rows at least, so many ranges at most."""
 
+HOT_PARTS_BITS = 6
+"""Rows of an id that fills a range by itself are numbered in so many parts, by the first bits of their CRC."""
+
 BROADCAST_ROWS = 100_000
+LEAST_ID = -(1 << 63)
+"""Stands for a null id where rows are put in order."""
 
 
 def _shift(value: Column, bits: int) -> Column:
@@ -107,42 +113,52 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     ``law`` is ``key``: ``doc_id`` and the number of shards decide, so equal ids share a
     shard, and a null id is placed as 0. ``slot`` numbers the rows of a shard from 0 by
     ``doc_id`` (null first), then CRC and size. No shard is numbered by one task: ranges
-    of ids are numbered apart, after the counts of the ranges before. Every row is kept.
+    of ids are numbered apart, after the counts of the ranges before, and the rows of an id
+    that very many share in parts by their CRC. Every row is kept.
     """
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint"))
-    ids = docs.select(key.alias("key"))
+    place = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST_ID))
+    ids = docs.select(place.alias("place"))
     total, = ids.agg(F.count(F.lit(1))).first()
     ranges = max(1, min(SLOT_RANGES, total // (shards * SLOT_ROWS)))
     cuts: list[int] = []
+    hot: list[int] = []
     if ranges > 1:
-        points = [i / ranges for i in range(1, ranges)]
-        cuts = sorted(set(ids.agg(F.percentile_approx("key", points)).first()[0]))
+        points = Counter(ids.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)])).first()[0])
+        # An id that is several of the points fills ranges: it becomes a range of its own.
+        hot = sorted(point for point, times in points.items() if times > 1)
+        cuts = sorted({*points, *(point - 1 for point in hot if point > LEAST_ID)})
     placed = jump_shards(key, shards)
-    part = _range_of(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), cuts)
-    id_rows = docs.select(placed["shard"].alias("shard"), part.alias("part"))
-    counts = id_rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    if shards * (len(cuts) + 1) <= BROADCAST_ROWS:
+    crc = F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
+    part = _range_of(place, cuts)
+    sub = F.when(place.isin(hot), _shift(crc, 32 - HOT_PARTS_BITS)).otherwise(0) if hot else F.lit(0)
+    sub = sub.cast("int")
+    id_rows = docs.select(placed["shard"].alias("shard"), part.alias("part"), sub.alias("sub"))
+    counts = id_rows.groupBy("shard", "part", "sub").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "part", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    if shards * (len(cuts) + 1 + (len(hot) << HOT_PARTS_BITS)) <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
 
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")).alias("text_crc32"),
+        crc.alias("text_crc32"),
         placed.alias("placed"),
         part.alias("part"),
+        sub.alias("sub"),
     )
     rows = rows.select(
         "doc_id",
         "size",
         "text_crc32",
         "part",
+        "sub",
         F.col("placed.shard").alias("shard"),
         F.col("placed.grown").alias("grown_shard"),
     )
-    order = Window.partitionBy("shard", "part").orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "size")
-    rows = rows.withColumn("place", F.row_number().over(order)).join(starts, ["shard", "part"])
+    order = Window.partitionBy("shard", "part", "sub").orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "size")
+    rows = rows.withColumn("place", F.row_number().over(order)).join(starts, ["shard", "part", "sub"])
     return rows.select(
         "doc_id",
         "size",
