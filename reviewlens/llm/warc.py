@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.session import durable, shared_folder
+from reviewlens.session import durable, shared_folder, stored
+from reviewlens.sizing import join_dimension
 
 RECORDS_PER_FILE = 2_000
 RANGE_ROWS = 50_000
@@ -50,7 +51,9 @@ def captures(pages: DataFrame, captured: Column | None = None, least_bytes: int
     A null html is an empty payload. Of records with equal payloads of at least
     ``least_bytes`` bytes, that with the largest ``page_id`` is the response; rows that
     share that id are responses all. A null id is smaller than any other. Smaller
-    payloads are responses all.
+    payloads are responses all. Only digests that two records share are looked up, by
+    broadcast if they are few, else with a very common one spread over tasks; payloads
+    are not gathered by digest.
     """
     if captured is None:
         seconds = EPOCH + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1_000_000_000))
@@ -64,9 +67,10 @@ def captures(pages: DataFrame, captured: Column | None = None, least_bytes: int
         payload_digest(payload).alias("payload_digest"),
         F.date_format(captured, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"),
     )
-    firsts = rows.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("largest"))
-    joined = rows.join(firsts, ["payload_digest", "payload_bytes"])
-    revisit = (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("largest"))
+    repeated = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes")
+    repeated = repeated.agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    joined = join_dimension(rows, stored(repeated), ["payload_digest", "payload_bytes"], "left")
+    revisit = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
     return joined.select(
         *rows.columns,
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
