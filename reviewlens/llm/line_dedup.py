@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.session import durable, stored
+from reviewlens.sizing import join_dimension
 
 LEAST = 20
 """Shorter lines are compared exactly only: an edit is too much of them."""
@@ -88,7 +89,9 @@ def _blocks(lines: DataFrame) -> DataFrame:
     frames = F.array_distinct(F.array(*(F.xxhash64("start", "head", tail) for tail in ("tail", "whole_tail"))))
     framed = parts.select("*", F.explode(frames).alias("frame"))
     shared = framed.groupBy("frame").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("frame")
-    return framed.join(shared, "frame", "left_semi").drop("frame").dropDuplicates(["at_line", "start"])
+    # A frame that very many lines share is spread over tasks.
+    met = join_dimension(framed, stored(shared), "frame", "left_semi")
+    return met.drop("frame").dropDuplicates(["at_line", "start"])
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -148,7 +151,7 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     texts = durable(texts)
     keyed = texts.select("at_line", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("half")
-    near_texts = keyed.join(shared, "half", "left_semi").select("at_line").distinct()
+    near_texts = join_dimension(keyed, stored(shared), "half", "left_semi").select("at_line").distinct()
     places = durable(near_texts.select("at_line.doc_id", "at_line.row", "at_line.line_no"))
     wanted = F.broadcast(places) if places.count() <= BROADCAST_LINES else places
     here = lines.alias("l").join(
