@@ -20,6 +20,7 @@ from reviewlens.wordlists import PRONOUNS
 FOLDER = "/root/testdata/sf0.001"
 LEXICON = {"er": 1, "ha": -1}
 FITS = {"lda_topics", "lda_facts", "learned_scores", "learned_classes"}
+FITS |= {"learned_confusion", "lda_default_facts", "topic_table_facts", "topic_quality"}
 
 
 def exchanges(plan: str) -> int:

@@ -1,4 +1,5 @@
 import json
+import re
 
 from reviewlens.sources.payloads import parse_movies, parse_reviews, read_payloads
 from reviewlens.sources.texts import documents_from_rows, read_documents, read_stop_words, read_text_corpus
@@ -146,3 +147,19 @@ def test_benchmark_is_numbered_without_the_driver(spark, rows, monkeypatch, tmp_
     found = rows_in_memory(spark, str(tmp_path))
     assert "text" not in sent
     assert rows(found) == [(0, "text 3"), (1, "text 5"), (2, "text 7")]
+
+
+def test_payloads_are_parsed_once(spark, rows, plan_of):
+    """Numbers, rows and quarantine are taken from one table: none of them reads a payload again."""
+    value = '{"reviews":[{"critic":"c","quote":"q"},7,{"critic":"d"}]}'
+    given = spark.createDataFrame([(1, 1, value), (1, 2, "broken"), (1, 3, value.replace("q\"}", "r\"}"))], "movie_id int, page int, value string")
+    good, bad = parse_reviews(given)
+    for part in (good, bad):
+        assert "from_json" not in plan_of(part) and not re.search(r"\bvalue#", plan_of(part))
+    assert rows(good, "page", "review_id", "quote") == [(1, 0, "q"), (3, 3, "r")]
+    assert rows(bad, "page", "element_no", "reason", "raw") == sorted(
+        [(2, None, "no reviews array", "broken")]
+        + [(p, 1, "not an object", "7") for p in (1, 3)]
+        + [(p, 2, "no quote", '{"critic":"d"}') for p in (1, 3)],
+        key=repr,
+    )
