@@ -1,5 +1,8 @@
 """The registered queries, against SQL or what they must hold, and the pipeline."""
 
+import os
+from urllib.parse import urlparse
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from reviewlens.checks.compare import difference, duck_tables
 from reviewlens.llm import decontaminate, language_id, mixing, sharding, simhash
 from reviewlens.llm.oracles import ORACLES
 from reviewlens.llm.queries import QUERIES
+from reviewlens.session import release, shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -70,10 +74,20 @@ def test_pipeline(spark):
     assert kept["decontaminate"].count() < kept["near_dedup"].count()
 
 
+def _left(spark):
+    """What is in the shared folder and in the folder of checkpoints."""
+    places = [shared_folder(spark), spark.sparkContext.getCheckpointDir()]
+    return {f"{place}/{name}" for place in places for name in os.listdir(urlparse(place).path)}
+
+
 def test_pipeline_run(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontaminate", "mixing", "sharding"]
     assert corpus_pipeline.ORACLE_SQL is None
+    release(spark)
+    before = _left(spark)
     found = corpus_pipeline.run(spark, FOLDER)
+    new = _left(spark) - before
+    assert len(new) == 1 and "/pipeline-" in new.pop()  # what stages wrote on their way is gone
     assert found.columns == sharding.shard_documents(spark.read.parquet(f"{FOLDER}/documents.parquet")).columns
     assert found.count() > 0
 
