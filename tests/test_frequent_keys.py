@@ -5,6 +5,10 @@ from pyspark.sql import functions as F
 
 from reviewlens import sizing
 from reviewlens.operators import sentences as of_sentences
+from reviewlens.operators import terms as of_terms
+from reviewlens.operators.local_terms import count_document_terms
+from reviewlens.operators.tokens import tokens
+from reviewlens.plans import opinions
 from reviewlens.sources import texts as of_texts
 
 
@@ -45,3 +49,32 @@ def test_large_tables_of_documents_are_dealt_in_more_parts(spark, tmp_path, monk
     few = of_texts.read_documents(spark, path, per_document=True).rdd.getNumPartitions()
     monkeypatch.setattr(of_texts, "PART_BYTES", 1000)
     assert of_texts.read_documents(spark, path, per_document=True).rdd.getNumPartitions() > 4 * few
+
+
+def test_rare_terms_are_looked_up_without_counting_them(texts, rows, monkeypatch):
+    """The vocabulary's order says that they are infrequent; a long term among the first is counted."""
+    docs = texts(*["velm dorrit hask", "quill velm hask", "brone osken quill velm", "tamper velm"] * 3)
+    counted = count_document_terms(docs)
+    ranked = of_terms.vocabulary(of_terms.term_counts(tokens(docs)))
+    plain = rows(of_terms.bag_of_words(counted, ranked))
+    called = []
+    monkeypatch.setattr(of_terms, "join_dimension", lambda *a: called.append(a) or sizing.join_dimension(*a))
+    assert rows(of_terms.bag_of_words(counted, ranked, head_terms=2)) == plain and not called
+    monkeypatch.setattr(of_terms, "HEAD_TERM_BYTES", 4)
+    assert rows(of_terms.bag_of_words(counted, ranked, head_terms=3)) == plain and called
+
+
+def test_strict_opinions_exchange_only_unknown_names(texts, rows, monkeypatch):
+    docs = texts("Velm sat. Hask saw Dorrit Bram. He ran. The X Quill.", "Dorrit ate. aVelm Hask, iT fell. it Hask.", None, "", "velm Velm. Quill it.")
+    wanted = rows(opinions.review_opinions(docs.union(docs), {"ran": 2}, strict_initial=True, by_mention=True))
+    known = docs.selectExpr("'Quill' AS name")
+    given = rows(opinions.review_opinions(docs, {"ran": 2}, strict_initial=True, known_names=known, by_mention=True))
+    loose = rows(opinions.review_opinions(docs, {"ran": 2}, by_mention=True))
+
+    def refused(*_, **__):
+        raise AssertionError("mentions are exchanged")
+
+    monkeypatch.setattr(opinions, "_by_mention", refused)
+    assert wanted and rows(opinions.review_opinions(docs.union(docs), {"ran": 2}, strict_initial=True)) == wanted
+    assert given != loose and rows(opinions.review_opinions(docs, {"ran": 2}, strict_initial=True, known_names=known)) == given
+    assert rows(opinions.review_opinions(docs, {"ran": 2})) == loose
