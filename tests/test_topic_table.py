@@ -138,3 +138,15 @@ def test_a_balanced_scorer_keeps_rare_classes(spark):
     constant = spark.createDataFrame([(0, 2, 12), (2, 2, 400), (4, 2, 12)], "given int, score int, n int")
     assert math.isclose(learned.balanced_accuracy(constant), 1 / 3)
     assert learned.balanced_accuracy(constant.limit(0)) == 0.0
+
+
+def test_held_out_documents_are_scored_some_at_a_time(texts, monkeypatch):
+    docs = texts(*WORDS * 3)
+    model = discover_topics(docs, max_iter=2, k=2)
+    bags = bag_of_words(count_document_terms(docs), model.vocabulary)
+    scores = topic_table.held_out_scores(bags, topic_table.model_probabilities(model), model.vocabulary, k=2)
+    whole = sorted(map(tuple, scores.collect()))
+    monkeypatch.setattr(topic_table, "JUDGED_ENTRIES", 1)
+    pieces = list(topic_table.together(np.array([3, 2, 2]), 3, topic_table.JUDGED_ENTRIES))
+    scores = topic_table.held_out_scores(bags, topic_table.model_probabilities(model), model.vocabulary, k=2)
+    assert whole and len(pieces) == 3 and np.allclose(sorted(map(tuple, scores.collect())), whole)
