@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlens import sizing
+from reviewlens.operators import mentions as of_mentions
 from reviewlens.operators import sentences as of_sentences
 from reviewlens.operators import terms as of_terms
 from reviewlens.operators.local_terms import count_document_terms
@@ -78,3 +79,35 @@ def test_strict_opinions_exchange_only_unknown_names(texts, rows, monkeypatch):
     assert wanted and rows(opinions.review_opinions(docs.union(docs), {"ran": 2}, strict_initial=True)) == wanted
     assert given != loose and rows(opinions.review_opinions(docs, {"ran": 2}, strict_initial=True, known_names=known)) == given
     assert rows(opinions.review_opinions(docs, {"ran": 2})) == loose
+
+
+def test_a_long_lexicon_exchanges_sums_of_sentences(spark, texts, rows, plan_of, monkeypatch):
+    """One row for a sentence, not its words, whatever is given twice; mentions stay in their row."""
+    lexicon = {"fine": 2, "bad": -2, "dull": -1, "": 9, "so": 0}
+    docs = texts("Velm is fine, fine. Hask is bad and dull! So so.", None, "", "Bad. Dorrit bad fine. It fell.")
+    docs = docs.union(docs).union(texts("Velm is dull."))
+    wanted = rows(opinions.review_opinions(docs, lexicon))
+    lines = of_sentences.sentences(docs.distinct().where("doc_id <> 0"))
+    short = rows(of_sentences.sentence_scores(lines, lexicon))
+    monkeypatch.setattr(of_sentences, "INLINE_ROWS", 1)
+
+    def refused(*_, **__):
+        raise AssertionError("mentions are exchanged")
+
+    monkeypatch.setattr(opinions, "_by_mention", refused)
+    assert wanted and rows(opinions.review_opinions(docs, lexicon)) == wanted
+    assert rows(of_sentences.sentence_scores(lines.union(lines), lexicon)) == sorted(short * 2, key=repr)
+    plan = plan_of(of_sentences.scores_found(lines, lexicon, ["doc_id"]))
+    assert "partial_sum" in plan and "collect_set" not in plan
+
+
+def test_many_names_are_looked_up_from_what_was_written(spark, texts, rows, monkeypatch):
+    """Names beyond a broadcast: texts are not analysed again to count and to look up what is asked."""
+    docs = texts("Velm sat. Hask saw Dorrit Bram. He ran. The X Quill.", "Dorrit ate. Bram fell. It, Hask.", None)
+    lines = of_sentences.sentences(docs)
+    plain = rows(of_mentions.mentions(lines, strict_initial=True))
+    asked, real = [], of_mentions.join_dimension
+    monkeypatch.setattr(of_mentions, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(of_mentions, "join_dimension", lambda facts, *a, **b: asked.append(facts) or real(facts, *a, **b))
+    assert rows(of_mentions.mentions(lines, strict_initial=True)) == plain
+    assert asked[0].inputFiles() and "regexp_extract_all" not in asked[0]._jdf.queryExecution().toString()
